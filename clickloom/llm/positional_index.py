@@ -297,3 +297,28 @@ def cut_hits(text: bytes, hits) -> bytes:
         out.append(text[last : spans[h["start"]][0]])
         last = spans[h["stop"] - 1][1]
     return b"".join([*out, text[last:]])
+
+
+def without_hits(docs: DataFrame, text: str = "text", hits: str = "hits", n_chars: str = "n_chars") -> DataFrame:
+    """``docs`` without the words of each row's ``hits`` (NULL: none), ``n_chars`` following,
+    and without the column ``hits``; one pass, no shuffle."""
+    names = [c for c in docs.columns if c != hits]
+    t, n = names.index(text), names.index(n_chars)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = b.column(len(names)).to_pylist()
+            cols = b.columns[: len(names)]
+            if any(found):
+                texts, sizes = cols[t].to_pylist(), cols[n].to_pylist()
+                for i, h in enumerate(found):
+                    if h:
+                        texts[i] = cut_hits(texts[i].encode(), h).decode()
+                        sizes[i] = len(texts[i])
+                cols[t], cols[n] = pa.array(texts, pa.string()), pa.array(sizes, cols[n].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    schema = T.StructType([docs.schema[c] for c in names])
+    return docs.select(*names, hits).mapInArrow(run, schema)

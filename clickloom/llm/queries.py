@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, licenses, mil_classifier, packing, positional_index, quality_rules, sharding, simhash, warc
+from . import html_wrapper, language_model, licenses, mil_classifier, packing, positional_index, quality_rules, sharding, simhash, warc
 from .common import new_path, stage
 
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_wrapper.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = stage(quality_rules.text_stats(table(spark, sf_dir, "documents"), ["doc_id"]), "op2")
     rules = quality_rules.fit(stats, table(spark, sf_dir, "labels"))
@@ -72,7 +77,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op2_quality_rules, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_best_fit_packing, op6_warc_revisits, op7_quality_classifier,
+        op1_html_extraction, op2_quality_rules, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_best_fit_packing, op6_warc_revisits, op7_quality_classifier,
         op8_license_scans, op9_sharding, op10_lm_scoring,
     )}
 

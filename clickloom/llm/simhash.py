@@ -11,8 +11,8 @@
   small stars, each round staged in the shared folder).
 
 Nulls, empty texts and texts without words have fingerprint zero and are linked
-like any other.  Repeated rows get the same class.  A NULL doc_id never names a
-class unless no other row is in it.  Extra columns are ignored.
+like any other.  Repeated rows get the same class.  A NULL doc_id names a class only
+if all its rows have none.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -341,21 +341,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("node"), "root")
 
 
-def near_duplicates(docs: DataFrame, keep: list[str], width: int = 3, radius: int = 3, parts: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, keep: list[str], width: int = 3, radius: int = 3, parts: int = 4, tie: str | None = None) -> DataFrame:
     """``keep`` columns (with doc_id), fp and component_id, the smallest doc_id that can be
-    reached over links, for every row."""
-    keep = [c for c in keep if c not in ("fp", "component_id")]
+    reached over links, for every row.  With ``tie``, a long column of ``keep`` that
+    tells rows of one doc_id apart, also keeper: the least ``tie`` of the class's rows
+    with that doc_id (a NULL doc_id comes after all others)."""
+    keep = [c for c in keep if c not in ("fp", "component_id", "keeper")]
     marked = stage(fingerprints(docs, keep, width), "fp")
-    uniq = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "uniq")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), (F.col(tie) if tie else F.lit(0).cast("long")).alias("tie"))
+    uniq = stage(marked.groupBy("fp").agg(F.min(first).alias("rep")), "uniq")
     roots = stage(components(links(uniq, radius, parts)), "roots")
     ends = roots.select(F.col("node").alias("fp"), "root").unionAll(roots.select(F.col("root").alias("fp"), "root").distinct())
     named = stage(ends.join(uniq, "fp").select("fp", "root", "rep"), "named")
     best = named.groupBy("root").agg(F.min("rep").alias("best"))
     linked = stage(named.join(best, "root").select("fp", "best"), "linked")
-    info = stage(uniq.join(linked, "fp", "left").select("fp", F.coalesce("best", "rep").alias("component_id")), "classes")
+    info = uniq.join(linked, "fp", "left").select("fp", F.coalesce("best", "rep").alias("r"))
+    info = stage(info.select("fp", F.col("r.id").alias("component_id"), F.col("r.tie").alias("keeper")), "classes")
     for x in (uniq, roots, named, linked):
         drop(x)
-    return marked.join(info, "fp").select(*keep, "fp", "component_id")
+    return marked.join(info if tie else info.drop("keeper"), "fp").select(*keep, "fp", "component_id", *["keeper"] * bool(tie))
 
 
 def fingerprint_hex(fp="fp"):
