@@ -24,77 +24,36 @@ from .common import text_chunks, with_local_rank, with_rank
 CAPACITY = 2048
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(kind: str = "tiktoken") -> str:
+    """The 50k byte-level BPE, as ranks or (``json``) for ``tokenizers``."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(f"byte_bpe_50k.{kind}")
 
 
-class Encoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
+def encoder(path: str):
+    """text -> token ids as a numpy array of unsigned 32-bit numbers, without special tokens.
 
-    In byte-level BPE a space starts a new word and sticks to it, so what stands
-    between single spaces has ids of its own: these are kept for words seen before.
-    Words new to a chunk are encoded together.  A text with other white space next
-    to a space, where this doesn't hold, is encoded as a whole.
-    """
-
-    def __init__(self, path: str, keep: int = 400_000):
-        import os
+    A ``.json`` file is read by ``tokenizers``.  A ``.tiktoken`` file, which holds the ranks
+    of a byte-level BPE, is read by ``tiktoken``: the ids of a vocabulary that exists in both
+    forms are the same (tests hold them against each other), several times faster."""
+    import numpy as np
 
-        import numpy as np
+    if path.endswith(".json"):
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        n = self.tok.get_vocab_size()
-        self.starts = np.array([(self.tok.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
-        self.known: dict[str, bytes] = {}
-        self.keep = keep
-
-    def plain(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
+    import base64
 
-    def learn(self, words: list[str]) -> None:
-        """Encode " a b c" at once; its tokens fall apart at those that start with a space."""
-        import numpy as np
+    import public_tokenizers
+    import tiktoken
 
-        for lo in range(0, len(words), 20_000):
-            part = words[lo : lo + 20_000]
-            ids = np.array(self.tok.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(self.starts[ids])
-            if len(cut) != len(part):  # not expected; then one by one
-                self.known.update((w, self.plain(" " + w)) for w in part)
-                continue
-            raw, cut = ids.tobytes(), [*(cut * 4).tolist(), ids.nbytes]
-            self.known.update((w, raw[a:b]) for w, a, b in zip(part, cut, cut[1:], strict=False))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        import re
-
-        odd = re.compile(r" \s|\s |^\s|\s$")
-        split, new = [], {}
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
-        for t in texts:
-            if not t or odd.search(t):
-                split.append(None)
-                continue
-            w = t.split(" ")
-            split.append(w)
-            new.update(dict.fromkeys(x for x in w[1:] if x not in known))
-        self.learn(list(new))
-        out = []
-        for t, w in zip(texts, split, strict=True):
-            if w is None:
-                out.append(self.plain(t) if t else b"")
-            else:
-                out.append(b"".join([self.plain(w[0]), *map(known.__getitem__, w[1:])]))
-        return out
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: enc.encode_to_numpy(text, disallowed_special=())
 
 
 def pieces(docs: DataFrame, keep: list[str], path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -111,13 +70,12 @@ def pieces(docs: DataFrame, keep: list[str], path: str | None = None, capacity:
         import numpy as np
         import pyarrow as pa
 
-        enc = Encoder(path)
-        end = np.array([end_id], "<u4").tobytes()
+        encode = encoder(path)
         for part, texts in text_chunks(batches, "_text", 2_000_000):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(enc.encode([(t or b"").decode() for t in texts])):
-                ids = memoryview(ids + end)
-                n = len(ids) // 4
+            for i, t in enumerate(texts):
+                ids = np.append(encode((t or b"").decode()), [end_id]).astype("<u4")
+                n = len(ids)
                 first = n % capacity or min(n, capacity)
                 at, k = 0, 0
                 while at < n:
@@ -126,7 +84,7 @@ def pieces(docs: DataFrame, keep: list[str], path: str | None = None, capacity:
                     piece.append(k)
                     start.append(at)
                     length.append(size)
-                    crc.append(zlib.crc32(ids[4 * at : 4 * (at + size)]))
+                    crc.append(zlib.crc32(ids[at : at + size]))
                     at, k = at + size, k + 1
             taken = part.take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays(
