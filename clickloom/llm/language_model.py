@@ -69,6 +69,21 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def head_count(counts: DataFrame, most: int) -> int:
+    """The least count such that ``most`` words at most have it or more, to 1/32 of itself: from
+    a histogram of counts (a few hundred rows), so that no task ranks the words."""
+    c = F.col("c")
+    step = F.greatest(F.floor(F.log2(c.cast("double"))) - 5, F.lit(0))  # counts of 6 significant bits
+    low = F.expr("shiftright(c, cast(greatest(floor(log2(cast(c as double))) - 5, 0) as int))")
+    rows = counts.groupBy(low.alias("low"), step.cast("int").alias("step")).agg(F.count("*").alias("n")).collect()
+    seen, least = 0, 1 << 62
+    for at, n in sorted(((r.low << r.step, r.n) for r in rows), reverse=True):
+        if seen + n > most:
+            break
+        seen, least = seen + n, at
+    return least
+
+
 def pair_counts(docs: DataFrame, vocabulary: list[bytes]):
     """Counts of (class before, class) over all ``docs``, size x size: a task sends its
     non-zero cells; the driver gets at most size x size numbers."""
@@ -147,8 +162,11 @@ def score(docs: DataFrame, keep: list[str], vocabulary: int = VOCABULARY, head:
     counts = stage(token_counts(learned), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     whole = total.n + 0.5 * (total.v + 1)
-    top = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()  # HEAD rows
+    least = head_count(counts, head)
+    top = counts.where(F.col("c") >= least).toArrow()  # HEAD rows at most
     words, c = top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.int64)
+    order = sorted(range(len(words)), key=lambda i: (-c[i], words[i]))
+    words, c = [words[i] for i in order], c[order]
     classes = [END, *[w for w in words[: vocabulary - 1] if w != END][: vocabulary - 2]]
     table = log10_table(train(pair_counts(learned, classes)))
     number = {w: i for i, w in enumerate(classes)}
@@ -200,9 +218,7 @@ def score(docs: DataFrame, keep: list[str], vocabulary: int = VOCABULARY, head:
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
     rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "scored")
     tail = rows.where(F.size("_tail") > 0).select("_row", F.explode(F.arrays_zip("_tail", "_times")).alias("t")).select("_row", F.col("t._tail").alias("word"), F.col("t._times").alias("n"))
-    least = int(c.min()) if len(c) else 0
-    rare = counts.where(F.col("c") <= least)  # a word outside the head isn't more frequent than its last
-    joined = tail.join(rare, "word", "left")
+    joined = tail.join(counts.where(F.col("c") < least), "word", "left")
     lp = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(whole))
     sums = joined.groupBy("_row").agg(
         F.sum(F.col("n") * lp).alias("_tail_base"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("_tail_known"),
