@@ -52,5 +52,5 @@ def convert_rate(actions: DataFrame, flow) -> DataFrame:
 
 def packed(rates: DataFrame, task_id: int = 1) -> DataFrame:
     """One row: ``3_5=0.07|5_2=...`` in the order of the flow."""
-    parts = F.array_sort(F.collect_list(F.struct("pos", F.concat_ws("=", "split", F.coalesce(F.format_string("%.2f", "rate"), F.lit("null"))).alias("s"))))
+    parts = F.array_sort(F.collect_list(F.struct("pos", F.concat_ws("=", "split", F.when(F.col("rate").isNull(), "null").otherwise(F.format_string("%.2f", "rate"))).alias("s"))))
     return rates.agg(F.array_join(F.transform(parts, lambda x: x["s"]), "|").alias("convert_rate")).select(F.lit(task_id).cast("bigint").alias("task_id"), "convert_rate")
