@@ -92,7 +92,8 @@ def label_of(tag: str, raw: str) -> tuple[str, int]:
 def parse(page: str):
     """(label, kind, children) from broken or whole markup; children are nodes and texts."""
     root = ("", 0, [])
-    stack, tags, inline = [root], [""], []
+    stack, tags = [root], [""]
+    inline: list[tuple[str, bool]] = []  # open inline elements: tag, whether it is no part of the text
     text: list[str] = []
 
     def flush():
@@ -106,41 +107,28 @@ def parse(page: str):
         flush()
         del stack[to:], tags[to:]
 
+    hidden = False
     for m in TOKEN.finditer(page):
         if (t := m["text"]) is not None:
-            text.append(html.unescape(t))
+            if not hidden:
+                text.append(html.unescape(t))
             continue
         tag = (m["tag"] or "").lower()
-        if not tag:
-            if m["raw"] and m["raw"].lower() not in ("svg", "math", "canvas"):
-                flush()
+        if not tag:  # comments, scripts and the like are nothing inside a block
             continue
         if tag in INLINE:
-            # an inline element that is hidden or marked as no article text is a region too
             if m["end"]:
-                if inline and inline[-1][0] == tag:
-                    _, depth = inline.pop()
-                    if depth and depth < len(stack):
-                        close(depth)
-            else:
-                depth = 0
-                if "=" in m["attr"]:
-                    label, kind = label_of(tag, m["attr"])
-                    if kind == 1:
-                        flush()
-                        depth = len(stack)
-                        node = (label, 1, [])
-                        stack[-1][2].append(node)
-                        stack.append(node)
-                        tags.append(tag)
-                if len(inline) < 200:
-                    inline.append((tag, depth))
+                k = next((k for k in range(len(inline) - 1, -1, -1) if inline[k][0] == tag), None)
+                if k is not None:
+                    del inline[k]
+            elif len(inline) < 200:
+                inline.append((tag, "=" in m["attr"] and label_of(tag, m["attr"])[1] == 1 or bool(re.search(r"\bhidden\b", m["attr"], re.I))))
+            hidden = any(x for _, x in inline)
             continue
         if tag == "br":
             text.append(" ")
             continue
-        if tag in VOID or tag in ("html",):
-            flush()
+        if tag in VOID and tag != "hr" or tag == "html":
             continue
         if m["end"]:
             if tag in tags:
@@ -149,6 +137,7 @@ def parse(page: str):
             else:
                 flush()
             inline.clear()
+            hidden = False
             continue
         if tag in CLOSED_BY_P and tags[-1] == "p":
             close(len(tags) - 1)
@@ -165,6 +154,9 @@ def parse(page: str):
                     break
         flush()
         inline.clear()
+        hidden = False
+        if tag == "hr":
+            continue
         label, kind = label_of(tag, m["attr"])
         node = (label, kind, [])
         stack[-1][2].append(node)
@@ -208,16 +200,18 @@ def squeeze(nodes: list) -> list:
     return list(by.values())
 
 
-def merge(a: list, b: list, many: int = 0) -> list:
-    """One expression for both; ``many``: they stand beside each other in one page."""
-    return [a[0], a[1] | b[1] | many, a[2] | b[2], max(a[3], b[3]) if many else a[3] + b[3], a[4] if a[4] == b[4] else None, align(a[5], b[5], many)]
+def merge(a: list, b: list, many: int = 0, beside: int = 0) -> list:
+    """One expression for both; ``many``: they stand beside each other in one page and become
+    one repeated node; ``beside``: they are in one page, in nodes that are merged."""
+    beside |= many
+    return [a[0], a[1] | b[1] | many, a[2] | b[2], max(a[3], b[3]) if beside else a[3] + b[3], a[4] if a[4] == b[4] else None, align(a[5], b[5], beside)]
 
 
-def align(a: list, b: list, many: int = 0) -> list:
+def align(a: list, b: list, beside: int = 0) -> list:
     """Merged sequence of nodes: along a longest common subsequence of labels; the others become optional."""
     la, lb = [n[0] for n in a], [n[0] for n in b]
     if la == lb:
-        return [merge(x, y, many) for x, y in zip(a, b, strict=True)]
+        return [merge(x, y, 0, beside) for x, y in zip(a, b, strict=True)]
     lo = 0
     while lo < min(len(la), len(lb)) and la[lo] == lb[lo]:
         lo += 1
@@ -225,7 +219,7 @@ def align(a: list, b: list, many: int = 0) -> list:
     while hi < min(len(la), len(lb)) - lo and la[-1 - hi] == lb[-1 - hi]:
         hi += 1
     x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    out = [merge(p, q, many) for p, q in zip(a[:lo], b[:lo], strict=True)]
+    out = [merge(p, q, 0, beside) for p, q in zip(a[:lo], b[:lo], strict=True)]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
@@ -234,7 +228,7 @@ def align(a: list, b: list, many: int = 0) -> list:
     optional = lambda n: [n[0], n[1], 1, *n[3:]]
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
-            out.append(merge(x[i], y[j], many))
+            out.append(merge(x[i], y[j], 0, beside))
             i, j = i + 1, j + 1
         elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
             out.append(optional(x[i]))
@@ -242,7 +236,7 @@ def align(a: list, b: list, many: int = 0) -> list:
         else:
             out.append(optional(y[j]))
             j += 1
-    out += [merge(p, q, many) for p, q in zip(a[len(a) - hi :], b[len(b) - hi :], strict=True)]
+    out += [merge(p, q, 0, beside) for p, q in zip(a[len(a) - hi :], b[len(b) - hi :], strict=True)]
     return squeeze(out)
 
 
