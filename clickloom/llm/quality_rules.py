@@ -135,11 +135,13 @@ def learn(x, bad, fold, names: list[str], max_rules: int = 12, max_tests: int =
 
     A rule grows by the test of highest information gain, then loses its last tests
     as long as that doesn't lower (p - n) / (p + n) on the pruning rows, and is
-    accepted if its precision on them is at least ``min_precision``.
+    accepted if its precision on them is at least ``min_precision``.  After a rule
+    that isn't, the next one begins with another feature and direction.
     """
     import numpy as np
 
     out, left = DecisionList(), np.ones(len(x), bool)
+    refused: set[tuple[str, str]] = set()
     while len(out.rules) < max_rules:
         grow, prune = left & fold, left & ~fold
         if (bad & grow).sum() < min_cover or not (bad & prune).any():
@@ -157,6 +159,8 @@ def learn(x, bad, fold, names: list[str], max_rules: int = 12, max_tests: int =
                     at = at[np.linspace(0, len(at) - 1, cuts).astype(int)] if len(at) > 4096 else at
                 pos = np.concatenate(([0], np.cumsum(b)))
                 for op, p, size in (("<", pos[at], at), (">=", pos[-1] - pos[at], len(v) - at)):
+                    if not rule and (f, op) in refused:
+                        continue
                     with np.errstate(divide="ignore", invalid="ignore"):
                         gain = np.where(p > 0, p * (np.log2(p / size) - base), -1)
                     if len(gain) and gain[k := int(gain.argmax())] > best[0]:
@@ -185,7 +189,9 @@ def learn(x, bad, fold, names: list[str], max_rules: int = 12, max_tests: int =
         m = covers(rule)
         p, n = (bad & m & prune).sum(), (~bad & m & prune).sum()
         if p == 0 or p / (p + n) < min_precision or (bad & m & left).sum() < min_cover:
-            break
+            refused.add(rule[0][:2])
+            continue
+        refused.clear()
         out.rules.append(Rule(rule, int((m & left).sum()), float(p / (p + n))))
         left &= ~m
     return out
