@@ -21,7 +21,9 @@ from .common import clean_labels, text_chunks
 PASSAGE = 64  # words
 BUCKETS = 96  # of the hashed bag of words
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"#*$%&|<>", b"!?", b".,;:'\"()-", bytes(range(128, 256)))
-WIDTH = len(CLASSES) + 3 + BUCKETS
+SHARE = len(CLASSES) + 2  # the column that has the passage's words as a share of PASSAGE; no feature
+WIDTH = SHARE + 1 + BUCKETS
+BAG_WEIGHT = 0.3  # of the bag's features beside the rates, in standard deviations
 
 
 class _Bucket(dict):
@@ -71,10 +73,10 @@ def encode(texts: list[bytes | None], buckets: dict | None = None):
     bag = np.bincount(row * BUCKETS + bucket, minlength=len(x) * BUCKETS).reshape(len(x), BUCKETS)[rows]
     k = len(CLASSES)
     x[rows, k] = chars / n_words / 10
-    x[rows, k + 1] = n_words / PASSAGE
     same = np.concatenate(([False], (bucket[1:] == bucket[:-1]) & (row[1:] == row[:-1])))
-    x[rows, k + 2] = np.add.reduceat(same, heads, dtype=np.int64) / n_words
-    x[rows, k + 3 :] = np.sqrt(bag / n_words[:, None])
+    x[rows, k + 1] = np.add.reduceat(same, heads, dtype=np.int64) / n_words
+    x[rows, SHARE] = n_words / PASSAGE
+    x[rows, SHARE + 1 :] = np.sqrt(bag / n_words[:, None])
     return x, count
 
 
@@ -93,7 +95,10 @@ class Model:
         import numpy as np
 
         p = self.p
+        share = x[:, SHARE : SHARE + 1]
         x = (x - self.mean) / self.scale
+        x[:, SHARE + 1 :] *= share  # the bag of a short passage says little
+        x[:, SHARE] = 0
         h = np.tanh(x @ p["W"] + p["Wb"])
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         e = (t * g) @ p["w"]
@@ -111,11 +116,12 @@ class Model:
             return np.full(len(starts), self.constant, np.float64)
         return self.forward(x, starts)[0].astype(np.float64)
 
-    def train(self, x, starts, y, epochs: int = 40, batch: int = 256, rate: float = 5e-3, decay: float = 1e-4, seed: int = 7):
+    def train(self, x, starts, y, epochs: int = 25, batch: int = 256, rate: float = 5e-3, decay: float = 1e-4, seed: int = 7):
         """Adam on the cross-entropy of the documents' labels."""
         import numpy as np
 
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-2
+        self.scale[-BUCKETS:] /= BAG_WEIGHT
         n, r, m, v, step = np.diff(np.append(starts, len(x))), np.random.default_rng(seed), {}, {}, 0
         p = self.p
         for _ in range(epochs):
@@ -147,7 +153,9 @@ def held_out(doc_id="doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4_000, seed: int = 7) -> Model:
     """Learn from at most ``max_docs`` labelled documents that aren't held out: half of
-    them at most of either label, those of the smallest hash of doc_id."""
+    them at most of either label, those of the smallest hash of doc_id.  A few words out of
+    each document of label 1 are learned as a document of that label, too: a text isn't bad
+    for being short."""
     import numpy as np
 
     known = clean_labels(labels).where(~held_out())
@@ -161,15 +169,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4_000, seed: int = 7
         import pyarrow as pa
 
         for part, texts in text_chunks(batches, "text"):
+            label, h = part.column(0).to_pylist(), part.column(1).to_pylist()
+            for i in range(len(texts)):
+                words = (texts[i] or b"").split()
+                if label[i] == 1 and len(words) > 1:
+                    r = np.random.default_rng(h[i] & 0xFFFFFFFF)
+                    size = int(r.integers(1, 41))
+                    at = int(r.integers(0, max(1, len(words) - size + 1)))
+                    texts.append(b" ".join(words[at : at + size]))
+                    label.append(1)
+                    h.append(h[i])
             x, n = encode(texts)
             cuts = np.cumsum(n)[:-1]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([v.tobytes() for v in np.split(x, cuts)], pa.binary())], names=["label", "h", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(h, pa.int64()), pa.array([v.tobytes() for v in np.split(x, cuts)], pa.binary())], names=["label", "h", "x"])
 
     rows = (
         docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
         .select("label", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(run, schema).collect()
     )
-    rows = sorted(rows, key=lambda r: (r.h, r.label))
+    rows = sorted(rows, key=lambda r: (r.h, r.label, bytes(r.x)))
     model = Model(seed)
     y = np.array([r.label for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
