@@ -138,7 +138,7 @@ def with_rank(ranked: DataFrame, keys: list[str], out: str) -> DataFrame:
     return ranked.join(base, ["_pid", *keys]).withColumn(out, F.col("_base") + F.col("_lrank")).drop("_pid", "_lrank", "_base")
 
 
-def text_chunks(batches, col: str, max_bytes: int = 8_000_000):
+def text_chunks(batches, col: str, max_bytes: int = 2_000_000):
     """Slices of the Arrow batches with at most ``max_bytes`` of text each (one row at
     least), as (slice, list of bytes or None).  Bounds what a task holds at once."""
     import numpy as np
