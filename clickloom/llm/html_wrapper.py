@@ -343,22 +343,28 @@ def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFram
                 yield flush()
         yield flush()
 
-    def join(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            hosts, out, slots = b.column(0).to_pylist(), [], []
-            for parts in b.column(1).to_pylist():
-                w: list = []
-                for n, p in enumerate(sorted(parts)):
-                    w = align(w, json.loads(p)) if n else json.loads(p)
-                out.append(json.dumps(w, separators=(",", ":")))
-                s = template_slots(w)
-                slots.append(json.dumps(s, separators=(",", ":")) if s else None)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(out, pa.string()), pa.array(slots, pa.string())], names=["host", "wrapper", "slots"])
+    def join(last):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                hosts, out, slots = b.column(0).to_pylist(), [], []
+                for parts in b.column(1).to_pylist():
+                    w: list = []
+                    for n, p in enumerate(sorted(parts)):
+                        w = align(w, json.loads(p)) if n else json.loads(p)
+                    out.append(json.dumps(w, separators=(",", ":")))
+                    s = template_slots(w) if last else []
+                    slots.append(json.dumps(s, separators=(",", ":")) if s else None)
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(out, pa.string()), pa.array(slots, pa.string())], names=["host", "wrapper", "slots"])
+
+        return run
 
     parts = pages.select(host_of(url).alias("host"), F.col(page).cast("string").alias("_html")).mapInArrow(infer, "host string, part string")
-    return parts.groupBy("host").agg(F.collect_list("part").alias("parts")).mapInArrow(join, "host string, wrapper string, slots string")
+    kind = "host string, wrapper string, slots string"
+    # a hot host has a part from every task: they meet in 256 groups first
+    some = parts.groupBy("host", F.pmod(F.spark_partition_id(), F.lit(256)).alias("_g")).agg(F.collect_list("part").alias("parts")).select("host", "parts").mapInArrow(join(False), kind)
+    return some.groupBy("host").agg(F.collect_list("wrapper").alias("parts")).mapInArrow(join(True), kind)
 
 
 def main_text(pages: DataFrame, keep: list[str], url: str = "url", page: str = "html", found: DataFrame | None = None) -> DataFrame:

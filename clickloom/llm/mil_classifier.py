@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import clean_labels, text_chunks
+from .common import clean_labels, smallest, text_chunks
 
 PASSAGE = 64  # words
 BUCKETS = 96  # of the hashed bag of words
@@ -158,10 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4_000, seed: int = 7
     for being short."""
     import numpy as np
 
-    known = clean_labels(labels).where(~held_out())
+    known = clean_labels(labels).where(~held_out()).withColumn("_h", F.xxhash64("doc_id"))
     ids = None
     for label in (0, 1):
-        part = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2)
+        part = smallest(known.where(F.col("label") == label), "_h", max_docs // 2, "doc_id").select("doc_id", "label")
         ids = part if ids is None else ids.unionAll(part)
     schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("x", T.BinaryType())])
 
@@ -184,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4_000, seed: int = 7
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(h, pa.int64()), pa.array([v.tobytes() for v in np.split(x, cuts)], pa.binary())], names=["label", "h", "x"])
 
     rows = (
-        docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+        docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+        .groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one of rows that share a doc_id
         .select("label", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(run, schema).collect()
     )
     rows = sorted(rows, key=lambda r: (r.h, r.label, bytes(r.x)))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Numbering, clean_labels, text_chunks
+from .common import Numbering, clean_labels, smallest, text_chunks
 
 #: Fixed by the contract of the statistics.
 SYMBOLS = b"#*$%&|<>"
@@ -198,16 +198,14 @@ def learn(x, bad, fold, names: list[str], max_rules: int = 12, max_tests: int =
 
 
 def fit(stats: DataFrame, labels: DataFrame, max_rows: int = 20_000, **how) -> DecisionList:
-    """Learn from at most ``max_rows`` labelled rows of ``stats`` (those of the smallest
-    hash of doc_id), label 0 being what rules reject."""
+    """Learn from the rows of ``stats`` that at most ``max_rows`` labels are about (those of
+    the smallest hash of doc_id), label 0 being what rules reject."""
     import numpy as np
 
     cols = features()
-    rows = (
-        stats.join(clean_labels(labels), "doc_id")
-        .select(F.xxhash64("doc_id").alias("h"), "label", *(c.alias(k) for k, c in cols.items()))
-        .orderBy("h", *cols).limit(max_rows).collect()
-    )
+    known = clean_labels(labels).withColumn("h", F.xxhash64("doc_id"))
+    one = F.min(F.struct(*(c.alias(k) for k, c in cols.items()))).alias("x")  # of rows that share a doc_id
+    rows = stats.join(smallest(known, "h", max_rows, "doc_id"), "doc_id").groupBy("doc_id", "h", "label").agg(one).select("h", "label", "x.*").orderBy("h", "label", *cols).collect()
     if not rows:
         return DecisionList()
     a = np.array([tuple(r) for r in rows], dtype=object)
