@@ -201,3 +201,23 @@ def test_parquet_table_versions(spark, tmp_path):
     for i in range(1, 5):
         t.write(spark.createDataFrame([(i,)], "user_id bigint"), "insert_absent", ("user_id",), i)
     assert t.read().count() == 4 and t.version() == (5, 4)
+
+
+def test_catalog_by_name(spark, sf):
+    c = catalog.Catalog(spark, sf, (("city_info", "my_cities"),))
+    spark.createDataFrame([(1, "x", "North")], "city_id bigint, city_name string, area string").createOrReplaceTempView("my_cities")
+    assert c("city_info").count() == 1 and c("user_info").count() > 1
+    catalog.Catalog(spark, sf).register()
+    assert spark.sql("SELECT count(*) FROM user_visit_action WHERE date >= '2024-01-01'").first()[0] > 0
+
+
+def test_filters_reach_the_scan(spark, sf):
+    plan = catalog.user_info(spark, sf).where("user_id = 3").select("age")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(c_custkey), EqualTo(c_custkey,3)]" in plan and "ReadSchema: struct<c_custkey:bigint>" in plan
+
+
+def test_top_lists_are_bounded(spark, sf):
+    from clickloom import queries as Q
+
+    plan = lambda n: Q.queries()[n](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan("top10_category") and "WindowGroupLimit" in plan("area_top3_product") and "WindowGroupLimit" in plan("ad_province_top3")
