@@ -1,15 +1,17 @@
 """Language-model scoring: a log-bilinear model with noise-contrastive estimation.
 
 Counts of all training tokens are gathered in a table.  The most frequent words and
-the end token are the model's vocabulary; all others are one class.  The model's
+the end token are classes of their own; all others fall into classes by the hash of
+their last three bytes, so that they say something as context, too.  The model's
 score of a word after another is s = (r C) q + b; it is trained in numpy on the
 counts of all neighbouring pairs of the training texts, a table bounded by the
 vocabulary, by noise-contrastive estimation with the expected noise (the unigram
 distribution, ``noise`` samples a word), so every training token counts and the
 result doesn't depend on how the rows lie.  One batched matrix product gives the
-scores of all pairs, which are normalised over the vocabulary.  A word of the class
-of others is its class's probability times its share of the class in the smoothed
-unigram distribution, so that a text's score is a proper log-probability.
+scores of all pairs, which are normalised over the vocabulary.  A word of a class
+of endings has its class's probability times its share of the class in the smoothed
+unigram distribution, which leaves half a count a class for unseen words, so that a
+text's score is a proper log-probability.
 
 Frequent words (a bounded table) are looked up where the text is; for the others,
 (row, word, times) is joined to the counts, which can be of any size.
@@ -28,7 +30,8 @@ from pyspark.sql import types as T
 from .common import LOWER_BYTES, stage, text_chunks
 
 END = b""  # no word is empty
-VOCABULARY = 1_024  # the end token and the class of others included
+VOCABULARY = 768  # words with a class of their own, the end token included
+ENDINGS = 256  # classes of the other words
 HEAD = 150_000  # frequent words that are looked up without a shuffle
 
 
@@ -46,6 +49,24 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("_text"))
 
 
+class _Classes(dict):
+    """A word's class: its own, or (from ``first`` on) that of its ending."""
+
+    def __init__(self, words: list[bytes], endings: int):
+        self.first, self.endings = len(words), endings
+        self.own = {w: i for i, w in enumerate(words)}
+        self.update(self.own)
+
+    def __missing__(self, word):
+        import zlib
+
+        if len(self) > 500_000:
+            self.clear()
+            self.update(self.own)
+        self[word] = k = self.own.get(word, self.first + zlib.crc32(word[-3:]) % self.endings)
+        return k
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all ``docs``; a task sends each word once in so many."""
 
@@ -84,12 +105,12 @@ def head_count(counts: DataFrame, most: int) -> int:
     return least
 
 
-def pair_counts(docs: DataFrame, vocabulary: list[bytes]):
+def pair_counts(docs: DataFrame, vocabulary: list[bytes], endings: int):
     """Counts of (class before, class) over all ``docs``, size x size: a task sends its
     non-zero cells; the driver gets at most size x size numbers."""
     import numpy as np
 
-    size = len(vocabulary) + 1
+    size = len(vocabulary) + endings
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
@@ -97,11 +118,11 @@ def pair_counts(docs: DataFrame, vocabulary: list[bytes]):
 
         import pyarrow as pa
 
-        number = {w: i for i, w in enumerate(sent.value)}
-        end, cells = number[END], np.zeros(size * size, np.int64)
+        classes = _Classes(sent.value, endings)
+        end, cells = classes[END], np.zeros(size * size, np.int64)
         for _, texts in text_chunks(batches, "_text", 2_000_000):
             words = list(itertools.chain.from_iterable(map(tokens, texts)))
-            ids = np.fromiter(map(number.get, words, itertools.repeat(size - 1)), np.int64, len(words))
+            ids = np.fromiter(map(classes.__getitem__, words), np.int64, len(words))
             cells += np.bincount(np.concatenate(([end], ids[:-1])) * size + ids, minlength=size * size)  # each text ends in END
         at = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], names=["cell", "n"])
@@ -151,8 +172,10 @@ def log10_table(p):
     return ((s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)).astype(np.float32)
 
 
-def score(docs: DataFrame, keep: list[str], vocabulary: int = VOCABULARY, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, keep: list[str], vocabulary: int = VOCABULARY, head: int = HEAD, endings: int = ENDINGS) -> DataFrame:
     """``keep`` columns (with doc_id), held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    import zlib
+
     import numpy as np
 
     spark = docs.sparkSession
@@ -167,15 +190,22 @@ def score(docs: DataFrame, keep: list[str], vocabulary: int = VOCABULARY, head:
     words, c = top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.int64)
     order = sorted(range(len(words)), key=lambda i: (-c[i], words[i]))
     words, c = [words[i] for i in order], c[order]
-    classes = [END, *[w for w in words[: vocabulary - 1] if w != END][: vocabulary - 2]]
-    table = log10_table(train(pair_counts(learned, classes)))
-    number = {w: i for i, w in enumerate(classes)}
+    classes = [END, *[w for w in words[:vocabulary] if w != END][: vocabulary - 1]]
     other = len(classes)
-    class_of = np.array([number.get(w, other) for w in words], np.int32)
+    table = log10_table(train(pair_counts(learned, classes, endings)))
+    known = _Classes(classes, endings)
+    class_of = np.array([known[w] for w in words], np.int32)
     base = np.log10((c + 0.5) / whole)
-    in_classes = sum(10**x for x, k in zip(base, class_of, strict=True) if k != other) + (0 if END in words else 0.5 / whole)
-    rest = float(np.log10(max(1 - in_classes, 0.5 / whole)))  # the base mass of the class of others
-    sent = spark.sparkContext.broadcast((words, c, class_of, base, table))  # bounded by head and vocabulary
+    # the base mass of each class of endings: all words', less those with a class of their own
+    mass = np.full(endings, 0.5)
+    ending = (F.crc32(F.substring("word", -3, 3)) % endings).alias("e")
+    for r in counts.groupBy(ending).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # ``endings`` rows
+        mass[r.e] += r.c + 0.5 * r.n
+    for w, n in zip(words, c.tolist(), strict=True):
+        if w in known.own:
+            mass[zlib.crc32(w[-3:]) % endings] -= n + 0.5
+    rest = np.log10(np.maximum(mass, 0.5) / whole)
+    sent = spark.sparkContext.broadcast((words, class_of, base, table, rest))  # bounded by head, vocabulary and endings
     kept = [docs.schema[k] for k in keep]
     more = [T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType()), T.StructField("_base", T.DoubleType()), T.StructField("_lbl", T.DoubleType()), T.StructField("_tail", T.ArrayType(T.BinaryType())), T.StructField("_times", T.ArrayType(T.IntegerType()))]
     schema = T.StructType([*kept, *more])
@@ -186,9 +216,10 @@ def score(docs: DataFrame, keep: list[str], vocabulary: int = VOCABULARY, head:
 
         import pyarrow as pa
 
-        words, _, class_of, base, table = sent.value
+        words, class_of, base, table, rest = sent.value
         index = {w: i for i, w in enumerate(words)}
-        class_of, base = np.append(class_of, other), np.append(base, 0.0)
+        class_of, base, rest = np.append(class_of, other), np.append(base, 0.0), np.append(np.zeros(other), rest)
+        by_ending = _Classes([], endings)
         unknown, end = len(words), 0
         for part, texts in text_chunks(batches, "_text", 2_000_000):
             split = [tokens(t) for t in texts]
@@ -196,17 +227,18 @@ def score(docs: DataFrame, keep: list[str], vocabulary: int = VOCABULARY, head:
             flat = list(itertools.chain.from_iterable(split))
             at = np.fromiter(map(index.get, flat, itertools.repeat(unknown)), np.int64, len(flat))
             k = class_of[at]
+            miss = np.flatnonzero(at == unknown)
+            missed = [flat[i] for i in miss.tolist()]
+            k[miss] = np.fromiter((by_ending[w[-3:]] for w in missed), np.int64, len(missed)) + other
             if END not in index:
                 k[np.cumsum(n) - 1] = end
             starts = np.concatenate(([0], np.cumsum(n)[:-1]))
             lp = table[np.concatenate(([end], k[:-1])), k].astype(np.float64)
-            lp += np.where(k == other, base[at] - rest, 0)  # for tail words the base part follows
+            lp += np.where(k >= other, base[at] - rest[k], 0)  # for tail words the base part follows
             tails, times = [], []
-            miss = np.flatnonzero(at == unknown)
             cut = np.searchsorted(miss, np.append(starts, len(flat)))
-            miss = miss.tolist()
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                own = Counter([flat[i] for i in miss[a:b]])
+                own = Counter(missed[a:b])
                 tails.append(list(own.keys()))
                 times.append(list(own.values()))
             add = lambda x: np.add.reduceat(x, starts)
