@@ -184,3 +184,18 @@ def smallest(df: DataFrame, h: str, n: int, *more: str) -> DataFrame:
         few = df.where(F.col(h) <= bound)
         df = few if few.count() >= n else df
     return df.orderBy(h, *more).limit(n)
+
+
+def apart(df: DataFrame, key: str, keys: DataFrame, most_bits: int = 26) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two parts: rows whose long ``key`` surely isn't in ``keys``, and the others, which
+    an exact join is to tell apart.  So rows that have nothing to do with ``keys`` aren't moved.
+
+    The test is a bitmap of about 16 bits a key, at most 2 ** ``most_bits`` (a table of 2 ** 20
+    rows, which is broadcast); with more keys than it can tell apart, more rows are in doubt."""
+    bits = min(most_bits, max(10, (16 * keys.count()).bit_length()))
+    at = F.col(key).bitwiseAND(F.lit((1 << bits) - 1))
+    word, bit = F.shiftright(at, 6).alias("_word"), at.bitwiseAND(F.lit(63)).cast("int").alias("_bit")
+    marks = keys.select(word, bit).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_marks"))
+    met = df.select("*", word, bit).join(F.broadcast(marks), "_word", "left")
+    hit = F.coalesce(F.expr("shiftright(_marks, _bit) & 1L") == 1, F.lit(False))
+    return met.where(~hit).select(*df.columns), met.where(hit).select(*df.columns)

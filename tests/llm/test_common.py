@@ -47,3 +47,13 @@ def test_staged_tables_can_be_read_again(spark):
     df = C.stage(spark.range(10), "t")
     assert df.count() == 10 and df.staged_path.startswith(C.shared_dir(spark))
     C.drop(df)
+
+
+def test_apart_loses_nothing(spark):
+    df = spark.range(3000).withColumn("k", F.xxhash64("id"))
+    for n, most in ((0, 26), (200, 26), (2000, 10)):
+        keys = df.where(F.col("id") < n).select("k")
+        clear, doubt = C.apart(df, "k", keys, most)
+        a, b = [{r.id for r in x.collect()} for x in (clear, doubt)]
+        assert a | b == set(range(3000)) and not a & b and set(range(n)) <= b
+        assert most < 26 or len(b) <= n + 300
