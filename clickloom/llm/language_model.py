@@ -60,7 +60,7 @@ class _Classes(dict):
     def __missing__(self, word):
         import zlib
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
             self.update(self.own)
         self[word] = k = self.own.get(word, self.first + zlib.crc32(word[-3:]) % self.endings)
@@ -82,7 +82,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
         for _, texts in text_chunks(batches, "_text", 2_000_000):
             for t in texts:
                 seen.update(tokens(t))
-            if len(seen) > 600_000:
+            if len(seen) > 300_000:
                 yield out(seen)
                 seen = Counter()
         yield out(seen)
