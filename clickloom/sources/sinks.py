@@ -101,8 +101,9 @@ class ParquetTable:
 
 
 class JdbcTable:
-    """The same merges over a JDBC table.  Appends go straight in; other merges are staged
-    and replace the table's rows, which the database does in one truncate and insert."""
+    """The same merges over a JDBC table.  Appends go straight in; other merges are staged in
+    the shared folder and then replace the table's rows (truncate, then insert: a failure
+    between leaves the staged rows to be written again)."""
 
     def __init__(self, spark: SparkSession, url: str, name: str, schema: T.StructType | str, properties: dict[str, str] | None = None, batch_size: int = 1000):
         self.spark, self.url, self.name = spark, url, name
