@@ -12,7 +12,7 @@ from .operators import ads, category, funnel, product, session, skew
 from .plans import jobs
 from .plans.params import Settings, TaskParam
 from .sources import catalog as C
-from .sources.sinks import TABLES, ParquetTable
+from .sources.sinks import BY_DAY, TABLES, ParquetTable
 from .sources.staging import new_folder
 
 FLOW = (3, 5, 2, 4, 6)
@@ -358,7 +358,7 @@ def _replay(spark, d):
 
 def _streamed(spark, d, make, schema, keys):
     live, root, log = _replay(spark, d)
-    t = ParquetTable(spark, f"{root}/table", schema)
+    t = ParquetTable(spark, f"{root}/table", schema, "date" if keys[0] == "date" else None)
     live.start(make(live, log), live.into(t, "upsert_set", keys), f"{root}/checkpoint").awaitTermination()
     return t.read()
 
@@ -418,7 +418,7 @@ def _halves(df):
 
 def _sink(spark, d, name, make, mode=None):
     one, two = _halves(C.ad_log(spark, d))
-    t = ParquetTable(spark, f"{new_folder(spark, 'sink')}/{name}", make(one).schema)
+    t = ParquetTable(spark, f"{new_folder(spark, 'sink')}/{name}", make(one).schema, BY_DAY.get(name))
     t.write(make(one), "append")
     t.write(make(two), mode or TABLES[name][0], TABLES[name][1], batch=7)
     t.write(make(two), mode or TABLES[name][0], TABLES[name][1], batch=7)  # a replay changes nothing

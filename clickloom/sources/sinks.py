@@ -1,13 +1,16 @@
 """Sinks: append, insert-absent, upsert (add or set), replace-group, over Parquet or JDBC.
 
 The merges are DataFrame functions of the table and the new rows.  ``ParquetTable``
-keeps versions as folders: a writer makes the next one whole and readers see the
-latest that is complete, so a lost executor or driver leaves the table as it was.
-Streaming writers give their batch id, and a batch that is already in is left out.
+keeps versions: readers see the last one that is complete, so a lost executor or driver
+leaves the table as it was.  Streaming writers give their batch id, and a batch that is
+already in is left out.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,56 +52,95 @@ def replace_group(old: DataFrame, new: DataFrame, group: list[str]) -> DataFrame
 
 MERGES = {"append": append, "insert_absent": insert_absent, "upsert_add": upsert_add, "upsert_set": upsert_set, "replace_group": replace_group}
 
-#: Result tables: columns, and how a job's rows get in.
+#: Result tables: how a job's rows get in, and the key.
 TABLES = {
     "session_aggr_stat": ("append", None), "session_random_extract": ("append", None), "session_detail": ("insert_absent", ("task_id", "user_id", "session_id", "page_id", "action_time")),
     "top10_category": ("append", None), "top10_session": ("append", None), "page_split_convert_rate": ("append", None), "area_top3_product": ("append", None),
     "ad_user_click_count": ("upsert_add", ("date", "user_id", "ad_id")), "ad_blacklist": ("insert_absent", ("user_id",)), "ad_stat": ("upsert_set", ("date", "province", "city", "ad_id")),
     "ad_province_top3": ("replace_group", ("date", "province")), "ad_click_trend": ("upsert_set", ("date", "hour", "minute", "ad_id")),
 }
+#: Tables that are kept by day, so that a batch rewrites the days that it touches.
+BY_DAY = {n: "date" for n, (_, keys) in TABLES.items() if keys and keys[0] == "date"}
 
 
 class ParquetTable:
-    """A table of versions under ``path``."""
+    """A table of versions under ``path``.
+
+    A write merges into the partitions (values of the string column ``partition``, such as
+    days) that the new rows touch, writes these as a new version and then a manifest, which
+    names the folder of each partition.  Readers see the last manifest; partitions that
+    aren't touched are neither read nor written."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str, partition: str | None = None):
+        self.spark, self.path, self.partition = spark, path.rstrip("/"), partition
         self.schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self) -> tuple[int, int]:
-        """(number, batch id) of the latest complete version; (0, -1) if there is none."""
+    def _names(self) -> list[str]:
         p = self._path(self.path)
-        if not self._fs.exists(p):
-            return 0, -1
-        names = [s.getPath() for s in self._fs.listStatus(p)]
-        done = [n.getName() for n in names if n.getName().startswith("v") and self._fs.exists(self._path(n, "_SUCCESS"))]
-        return max((tuple(int(x) for x in n[1:].split("_b")) for n in done), default=(0, -1))
+        return [s.getPath().getName() for s in self._fs.listStatus(p)] if self._fs.exists(p) else []
+
+    def version(self) -> tuple[int, int]:
+        """(number, batch id) of the last manifest; (0, -1) if there is none."""
+        done = [tuple(int(x) for x in n[1:-5].split("_b")) for n in self._names() if n.startswith("m") and n.endswith(".json")]
+        return max(done, default=(0, -1))
+
+    def _manifest(self, version: tuple[int, int]) -> dict[str, str]:
+        """Partition -> folder under ``path``."""
+        if not version[0]:
+            return {}
+        stream = self._fs.open(self._path(f"{self.path}/m{version[0]}_b{version[1]}.json"))
+        try:
+            return json.loads(bytes(self.spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)))
+        finally:
+            stream.close()
+
+    def _load(self, folders) -> DataFrame:
+        paths = [f"{self.path}/{f}" for f in folders]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
-        v, b = self.version()
-        if not v:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}_b{b}")
+        return self._load(self._manifest(self.version()).values())
 
     def write(self, new: DataFrame, mode: str = "append", keys: tuple[str, ...] | None = None, batch: int | None = None, value: str = "click_count", keep: int = 2) -> bool:
-        """Merge ``new`` into the next version; False if ``batch`` is in already."""
+        """Merge ``new`` into the next version; False if ``batch`` is in already.  The partitions
+        that one write touches are listed on the driver; their values are plain words."""
         v, b = self.version()
         if batch is not None and batch <= b:
             return False
         new = new.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
-        old = self.read()
+        before = self._manifest((v, b))
+        touched = [r[0] for r in new.select(self.partition).distinct().collect()] if self.partition else ["all"]
+        if bad := [t for t in touched if not re.fullmatch(r"[\w-]+", t or "")]:
+            raise ValueError(f"not a partition's name: {bad[0]!r}")
         args = [] if keys is None else [list(keys)]
-        merged = MERGES[mode](old, new, *args, *([value] if mode == "upsert_add" else []))
-        merged.write.mode("overwrite").parquet(f"{self.path}/v{v + 1}_b{b if batch is None else batch}")
-        for s in self._fs.listStatus(self._path(self.path)):
-            name = s.getPath().getName()
-            if name.startswith("v") and int(name[1:].split("_b")[0]) <= v + 1 - keep:
-                self._fs.delete(s.getPath(), True)
+        merged = MERGES[mode](self._load(before[t] for t in touched if t in before), new, *args, *([value] if mode == "upsert_add" else []))
+        merged.withColumn("_p", F.col(self.partition) if self.partition else F.lit("all")).write.mode("overwrite").partitionBy("_p").parquet(f"{self.path}/v{v + 1}")
+        there = self._fs.listStatus(self._path(f"{self.path}/v{v + 1}"))
+        now = before | {n[3:]: f"v{v + 1}/{n}" for n in (s.getPath().getName() for s in there) if n.startswith("_p=")}
+        self._publish(now, (v + 1, b if batch is None else batch))
+        self._forget(v + 1 - keep)
         return True
 
+    def _publish(self, manifest: dict[str, str], version: tuple[int, int]) -> None:
+        """The manifest appears at once: it is written aside and renamed."""
+        aside, name = (self._path(f"{self.path}/{n}") for n in (f"_m{version[0]}", f"m{version[0]}_b{version[1]}.json"))
+        out = self._fs.create(aside, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        self._fs.rename(aside, name)
+
+    def _forget(self, last: int) -> None:
+        """Drop manifests up to number ``last`` and folders that no later one names."""
+        manifests = [(tuple(int(x) for x in n[1:-5].split("_b")), n) for n in self._names() if n.startswith("m") and n.endswith(".json")]
+        used = {f for v, _ in manifests if v[0] > last for f in self._manifest(v).values()}
+        for v, n in manifests:
+            if v[0] <= last:
+                for f in set(self._manifest(v).values()) - used:
+                    self._fs.delete(self._path(f"{self.path}/{f}"), True)
+                self._fs.delete(self._path(f"{self.path}/{n}"), True)
+
 
 class JdbcTable:
     """The same merges over a JDBC table.  Appends go straight in; other merges are staged in

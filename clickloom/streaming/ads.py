@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ads
-from ..sources.sinks import TABLES, ParquetTable
+from ..sources.sinks import BY_DAY, TABLES, ParquetTable
 
 LOG_SCHEMA = "ts TIMESTAMP, epoch_ms BIGINT, province STRING, city STRING, user_id BIGINT, ad_id BIGINT"
 
@@ -58,7 +58,7 @@ class AdClickJob:
 
     def __init__(self, spark: SparkSession, root: str, threshold: int = 100, top: int = 3):
         self.spark, self.root, self.threshold, self.top = spark, root, threshold, top
-        self.tables = {n: ParquetTable(spark, f"{root}/{n}", s) for n, s in self.SCHEMAS.items()}
+        self.tables = {n: ParquetTable(spark, f"{root}/{n}", s, BY_DAY.get(n)) for n, s in self.SCHEMAS.items()}
 
     def batch(self, log: DataFrame, batch_id: int) -> None:
         t = self.tables

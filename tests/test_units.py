@@ -203,6 +203,19 @@ def test_parquet_table_versions(spark, tmp_path):
     assert t.read().count() == 4 and t.version() == (5, 4)
 
 
+def test_only_touched_days_are_written(spark, tmp_path):
+    t = sinks.ParquetTable(spark, f"{tmp_path}/t", "date string, click_count bigint", "date")
+    put = lambda rows, batch: t.write(spark.createDataFrame(rows, "date string, click_count bigint"), "upsert_add", ("date",), batch)
+    for i in range(4):
+        put([("2024-01-01", 1), (f"2024-01-0{i + 2}", 10)], i)
+    assert sorted(map(tuple, t.read().collect())) == [("2024-01-01", 4), *((f"2024-01-0{i}", 10) for i in range(2, 6))]
+    folders = t._manifest(t.version())
+    assert folders["2024-01-02"].startswith("v1/") and folders["2024-01-01"].startswith("v4/")
+    assert not (tmp_path / "t" / "v1" / "_p=2024-01-01").exists()  # no manifest that is kept names it
+    with pytest.raises(ValueError):
+        put([("a/b", 1)], 9)
+
+
 def test_catalog_by_name(spark, sf):
     c = catalog.Catalog(spark, sf, (("city_info", "my_cities"),))
     spark.createDataFrame([(1, "x", "North")], "city_id bigint, city_name string, area string").createOrReplaceTempView("my_cities")
