@@ -90,3 +90,9 @@ def test_odd_rows(spark, odd, odd_rows, labels, tmp_path):
         n = f(spark, odd, str(tmp_path)).count()
         assert 0 < n or name in ("quality_rules", "quality_classifier")
         assert f(spark, odd.where("false"), str(tmp_path)).count() == 0
+
+
+def test_run_is_the_stages_in_order(spark, sf, stages):
+    got = C.run(spark, sf).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    want = stages["best_fit_packing"].select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
