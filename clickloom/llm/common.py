@@ -80,32 +80,42 @@ def as_text(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.coalesce(F.col(col).cast("string"), F.lit("")))
 
 
-def binary_batches(batches, col: str):
-    """Each Arrow batch with the values of string column ``col`` as bytes (None stays)."""
-    import pyarrow as pa
+#: Bytes of an Arrow batch, where the session has Spark's own bound (64 MB): batches are held
+#: by the executor's JVM and its Python workers at once.
+BATCH_BYTES = "8m"
 
-    for b in batches:
-        i = b.schema.get_field_index(col)
-        yield b, b.column(i).cast(pa.large_binary()).to_pylist()
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def with_text(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns and the text as ``_text``, in Arrow batches of bounded size."""
+    small_batches(docs.sparkSession)
+    return docs.select(*keep, F.col(text).cast("string").alias("_text"))
 
 
-def with_local_rank(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+def with_local_rank(df: DataFrame, keys: list[str], name: str, after=None) -> DataFrame:
     """Stage ``df`` with ``_pid`` (the task that wrote the row) and ``_lrank``, the
     row's place among rows with equal ``keys`` in that task, from 0.
 
     ``keys`` are whole numbers of few values a task; a task keeps one counter for
-    each.  No shuffle.
+    each.  No shuffle.  ``after``: (function, schema) to be mapped over ``df``'s batches
+    before, in the same Python worker.
     """
     import numpy as np
 
-    schema = T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_lrank", T.LongType())])
+    source, own = after or (iter, df.schema)
+    schema = T.StructType([*own.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_lrank", T.LongType())])
 
     def rank(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         pid, seen = TaskContext.get().partitionId(), {}
-        for b in batches:
+        for b in source(batches):
             if not b.num_rows:
                 continue
             k = np.zeros(b.num_rows, np.int64)
@@ -154,6 +164,7 @@ def text_chunks(batches, col: str, max_bytes: int = 2_000_000):
             hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + max_bytes, "right")) - 1)
             yield b.slice(lo, hi - lo), v.slice(lo, hi - lo).to_pylist()
             lo = hi
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 class Numbering(dict):

@@ -369,7 +369,9 @@ def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFram
 
 def main_text(pages: DataFrame, keep: list[str], url: str = "url", page: str = "html", found: DataFrame | None = None) -> DataFrame:
     """``keep`` columns and text of every page, read through its host's wrapper."""
-    from .common import stage, text_chunks
+    from .common import small_batches, stage, text_chunks
+
+    small_batches(pages.sparkSession)
 
     keep = [c for c in keep if c != "text"]
     found = stage(wrappers(pages, url, page), "wrappers") if found is None else found

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_BYTES, stage, text_chunks
+from .common import LOWER_BYTES, stage, text_chunks, with_text
 
 END = b""  # no word is empty
 VOCABULARY = 768  # words with a class of their own, the end token included
@@ -46,7 +46,7 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("text").cast("string").alias("_text"))
+    return with_text(docs, [])
 
 
 class _Classes(dict):
@@ -247,7 +247,7 @@ def score(docs: DataFrame, keep: list[str], vocabulary: int = VOCABULARY, head:
                 names=[f.name for f in schema],
             )
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    rows = with_text(docs, keep).mapInArrow(run, schema)
     rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "scored")
     tail = rows.where(F.size("_tail") > 0).select("_row", F.explode(F.arrays_zip("_tail", "_times")).alias("t")).select("_row", F.col("t._tail").alias("word"), F.col("t._times").alias("n"))
     joined = tail.join(counts.where(F.col("c") < least), "word", "left")

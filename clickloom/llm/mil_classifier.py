@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import clean_labels, smallest, text_chunks
+from .common import clean_labels, smallest, text_chunks, with_text
 
 PASSAGE = 64  # words
 BUCKETS = 96  # of the hashed bag of words
@@ -216,4 +216,4 @@ def score(docs: DataFrame, model: Model, keep: list[str], out: str = "score") ->
             s = model.score(x, np.concatenate(([0], np.cumsum(n)[:-1])))
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(s, pa.float64())], names=[*keep, out])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return with_text(docs, keep).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_chunks, with_local_rank, with_rank
+from .common import text_chunks, with_local_rank, with_rank, with_text
 
 CAPACITY = 2048
 
@@ -56,10 +56,8 @@ def encoder(path: str):
     return lambda text: enc.encode_to_numpy(text, disallowed_special=())
 
 
-def pieces(docs: DataFrame, keep: list[str], path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """``keep`` columns, piece, start, length and ids_crc32: a row for each piece of each text.
-
-    A longer text is cut from its end, so that the first piece may be shorter."""
+def _cut(docs: DataFrame, keep: list[str], path: str | None, capacity: int, end_id: int):
+    """(texts, function over their batches, schema of what it gives)."""
     keep = [c for c in keep if c not in ("piece", "start", "length", "ids_crc32")]
     path = path or tokenizer_path()
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("piece", T.IntegerType())] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")])
@@ -92,7 +90,21 @@ def pieces(docs: DataFrame, keep: list[str], path: str | None = None, capacity:
                 names=[*keep, "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return with_text(docs, keep), run, schema
+
+
+def pieces(docs: DataFrame, keep: list[str], path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+    """``keep`` columns, piece, start, length and ids_crc32: a row for each piece of each text.
+
+    A longer text is cut from its end, so that the first piece may be shorter."""
+    texts, run, schema = _cut(docs, keep, path, capacity, end_id)
+    return texts.mapInArrow(run, schema)
+
+
+def pack_texts(docs: DataFrame, keep: list[str], path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, groups: int = 48) -> DataFrame:
+    """:func:`pieces` with sequence_id and offset; texts are encoded and pieces ranked in one go."""
+    texts, run, schema = _cut(docs, [k for k in keep if k not in ("sequence_id", "offset")], path, capacity, end_id)
+    return _placed(with_local_rank(texts, ["length"], "pieces", (run, schema)), capacity, groups)
 
 
 # ---- the packing, on the histogram of lengths
@@ -266,14 +278,17 @@ def pack_at(counts: dict[int, int], capacity: int, groups: int, small: int):
 
 def sequences(found: DataFrame, capacity: int = CAPACITY, groups: int = 48) -> DataFrame:
     """``found`` (with a long column length) with sequence_id and offset."""
+    return _placed(with_local_rank(found.drop("sequence_id", "offset"), ["length"], "pieces"), capacity, groups)
+
+
+def _placed(ranked: DataFrame, capacity: int, groups: int) -> DataFrame:
     import numpy as np
 
-    ranked = with_local_rank(found.drop("sequence_id", "offset"), ["length"], "pieces")
     counts = {r.length: r.n for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     runs, _ = pack(counts, capacity, groups)
     runs.sort()
     key = np.array([r[0] for r in runs], np.int64) << 44 | np.array([r[1] for r in runs], np.int64)
-    sent = found.sparkSession.sparkContext.broadcast((key, np.array(runs, np.int64).reshape(-1, 5)))  # a few thousand runs: it depends on the capacity
+    sent = ranked.sparkSession.sparkContext.broadcast((key, np.array(runs, np.int64).reshape(-1, 5)))  # a few thousand runs: it depends on the capacity
     full = with_rank(ranked, ["length"], "_rank")
     names = [c for c in full.columns if c != "_rank"]
     schema = T.StructType([full.schema[c] for c in names] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_BYTES, stage, text_chunks
+from .common import ALNUM_BYTES, stage, text_chunks, with_text
 
 WINDOW = 13
 BITMAP_BITS = 1 << 23
@@ -67,7 +67,7 @@ def bitmap_of(queries: DataFrame, text: str = "text") -> bytes | None:
                 marks.update(map(_mark, words_of(t)))
         yield pa.RecordBatch.from_arrays([pa.array(list(marks), pa.int64())], names=["mark"])
 
-    rows = queries.select(F.col(text).cast("string").alias("_text")).mapInArrow(run, "mark long").distinct()
+    rows = with_text(queries, [], text).mapInArrow(run, "mark long").distinct()
     bits = np.zeros(BITMAP_BITS, bool)
     for r in rows.toLocalIterator():  # BITMAP_BITS rows at most
         bits[r.mark] = True
@@ -126,7 +126,7 @@ def build(docs: DataFrame, keep: list[str], bitmap: bytes | None = None, text: s
                 whole(number.names, pa.binary()), whole(ends, pa.int64()), pa.array([order.tobytes()], pa.binary()),
             ], names=["rows", *(a for a, _ in BLOCK)])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return with_text(docs, keep, text).mapInArrow(run, schema)
 
 
 class Block:

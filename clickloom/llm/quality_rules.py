@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Numbering, clean_labels, smallest, text_chunks
+from .common import Numbering, clean_labels, smallest, text_chunks, with_text
 
 #: Fixed by the contract of the statistics.
 SYMBOLS = b"#*$%&|<>"
@@ -84,7 +84,7 @@ def text_stats(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
                 [part.column(i) for i in range(len(keep))] + [pa.array(x, pa.int64()) for x in rows], names=[*keep, *STATS]
             )
 
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return with_text(docs, keep, text).mapInArrow(run, schema)
 
 
 def features() -> dict[str, Column]:

@@ -56,7 +56,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packing.sequences(packing.pieces(table(spark, sf_dir, "documents"), ["doc_id"]))
+    found = packing.pack_texts(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

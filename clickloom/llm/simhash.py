@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_BYTES, drop, stage, text_chunks
+from .common import LOWER_BYTES, drop, stage, text_chunks, with_text
 
 LONG = T.LongType()
 
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, keep: list[str], width: int = 3, out: str = "f
                 fp[full] = np.packbits(2 * ones > n[full][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(fp.view(np.int64))], names=[*keep, out])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return with_text(docs, keep).mapInArrow(run, schema)
 
 
 # ---- the plan: partitions of bits and their thresholds

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import small_batches, stage
 
 END = "\r\n\r\n"
 NEXT = END + "WARC/1.0\r\n"
@@ -139,5 +139,6 @@ def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
         if rows:
             yield flush(rows)
 
+    small_batches(spark)
     lines = spark.read.option("lineSep", NEXT).text(path)
     return lines.select("value", F.col("_metadata.file_path").alias("file")).mapInArrow(run, schema)
