@@ -19,7 +19,7 @@ ALNUM_BYTES = bytes(
     for c in range(256)
 )
 
-_ours: list[tuple[SparkSession, str]] = []
+_ours: list[tuple] = []  # (JVM, Hadoop's configuration, path): usable after the session has stopped
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,28 +36,35 @@ def shared_dir(spark: SparkSession) -> str:
             d = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged_{uuid.uuid4().hex[:8]}"
             spark.conf.set("clickloom.shared.dir", d)
             sc.setCheckpointDir(d)
-            _ours.append((spark, d))
+            _mine(spark, d)
     return d.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is deleted when the process ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _ours.append((spark, path))
+    _mine(spark, path)
     return path
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
+def _mine(spark: SparkSession, path: str) -> None:
+    _ours.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))
+
+
+def _remove(jvm, conf, path: str) -> None:
     p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p.getFileSystem(conf).delete(p, True)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    _remove(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _ours:
+    for own in _ours:
         with contextlib.suppress(Exception):
-            delete(spark, path)
+            _remove(*own)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
