@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
+_made: list[tuple] = []  # (JVM, Hadoop's configuration, path): usable after the session has stopped
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -16,17 +16,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     it goes when the process ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    _made.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))
     return path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def _remove(jvm, conf, path: str) -> None:
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _made:
+    for own in _made:
         with contextlib.suppress(Exception):
-            remove(spark, path)
+            _remove(*own)
