@@ -56,17 +56,14 @@ def assign(docs: DataFrame, keep: list[str], shards: int = SHARDS, text: str = "
             *keep, (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
             F.xxhash64(body).alias("_h"), F.regexp_count(body, F.lit(r"\S+")).cast("long").alias("_tokens"), F.xxhash64(F.monotonically_increasing_id()).alias("_r"),
         ), "rows")
-    groups = rows.groupBy("_h").agg(F.sum("size").alias("b"), F.sum("_tokens").alias("t"), F.count("*").alias("n"))
-    groups = stage(groups, "groups")
-    total = groups.agg(F.sum("b").alias("b"), F.sum("n").alias("n")).first()
+    total = rows.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
     if not total.n:
         return rows.select(*keep, "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    groups = rows.groupBy("_h").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
     heavy = (F.col("b") * HEAVY > total.b) | (F.col("n") * HEAVY > total.n)  # fewer than 2 * HEAVY groups
     share = F.greatest(F.ceil(F.col("b") * shards / F.lit(float(total.b))), F.ceil(F.col("n") * shards / F.lit(float(total.n))))
     pieces = F.when(share > 1, share * PIECES).otherwise(1).cast("long")  # < 2 * shards * (PIECES + 1) in all, beside one a group
-    alone = groups.where(heavy).select("_h", pieces.alias("_pieces"))
-    alone = stage(alone, "heavy")
-    few = alone.collect()  # fewer than 2 * HEAVY rows
+    few = groups.where(heavy).select("_h", pieces.alias("_pieces")).collect()  # fewer than 2 * HEAVY rows
     rows = rows.join(F.broadcast(spark.createDataFrame(few, "_h long, _pieces long")), "_h", "left")
     # one number for each unit that is placed: a bucket of light groups, or a piece of a heavy one
     unit = F.struct(
