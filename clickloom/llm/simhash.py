@@ -351,15 +351,24 @@ def near_duplicates(docs: DataFrame, keep: list[str], width: int = 3, radius: in
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), (F.col(tie) if tie else F.lit(0).cast("long")).alias("tie"))
     uniq = stage(marked.groupBy("fp").agg(F.min(first).alias("rep")), "uniq")
     roots = stage(components(links(uniq, radius, parts)), "roots")
+    found = with_classes(marked, uniq, roots)
+    for x in (uniq, roots):
+        drop(x)
+    return found.select(*keep, "fp", "component_id", *["keeper"] * bool(tie))
+
+
+def with_classes(marked: DataFrame, uniq: DataFrame, roots: DataFrame) -> DataFrame:
+    """``marked`` with component_id and keeper: the least rep (none, id, tie) of ``uniq`` in
+    the component of the row's fp."""
     ends = roots.select(F.col("node").alias("fp"), "root").unionAll(roots.select(F.col("root").alias("fp"), "root").distinct())
     named = stage(ends.join(uniq, "fp").select("fp", "root", "rep"), "named")
     best = named.groupBy("root").agg(F.min("rep").alias("best"))
     linked = stage(named.join(best, "root").select("fp", "best"), "linked")
     info = uniq.join(linked, "fp", "left").select("fp", F.coalesce("best", "rep").alias("r"))
     info = stage(info.select("fp", F.col("r.id").alias("component_id"), F.col("r.tie").alias("keeper")), "classes")
-    for x in (uniq, roots, named, linked):
+    for x in (named, linked):
         drop(x)
-    return marked.join(info if tie else info.drop("keeper"), "fp").select(*keep, "fp", "component_id", *["keeper"] * bool(tie))
+    return marked.join(info, "fp")
 
 
 def fingerprint_hex(fp="fp"):
