@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join, in DataFrame functions only.
 
-Every line of every text is a block.  A block is labelled with each template whose
+Every line of every text is a block, and so is every run of as many words as a template has,
+over line ends, so that wrapped notices are found.  A block is labelled with each template whose
 tokens it contains to at least ``threshold`` (containment: |block and template| /
 |template|).  Template tokens are ordered by their frequency in the whole corpus,
 rarest first.  A block that meets the threshold must have a token of the template's
@@ -56,6 +57,12 @@ def tokens(template: str) -> list[str]:
     return list(dict.fromkeys(re.findall("[a-z0-9]+", template.lower())))
 
 
+def length(template: str) -> int:
+    import re
+
+    return len(re.findall("[a-z0-9]+", template.lower()))
+
+
 def needed(size: int, threshold: float = THRESHOLD) -> int:
     """Tokens of a template of ``size`` that a block must contain."""
     import math
@@ -79,12 +86,12 @@ def frequencies(docs: DataFrame, vocabulary: list[str], text: str = "text") -> d
 
 
 def prefix_index(templates: dict[str, str], freq: dict[str, int], threshold: float = THRESHOLD):
-    """[(token, label, place in the template's order, template size, needed, all tokens)] of the prefixes."""
+    """[(token, label, place in the template's order, template size, needed, all tokens, words)] of the prefixes."""
     out = []
     for label, t in templates.items():
         own = sorted(tokens(t), key=lambda w: (freq[w], w))
         need = needed(len(own), threshold)
-        out += [(w, label, i, len(own), need, own) for i, w in enumerate(own[: len(own) - need + 1])]
+        out += [(w, label, i, len(own), need, own, length(t)) for i, w in enumerate(own[: len(own) - need + 1])]
     return out
 
 
@@ -102,9 +109,18 @@ def places(w: Column, phrase: str) -> Column:
     return F.when(F.size(w) >= len(parts), F.filter(at, here)).otherwise(F.array().cast("array<int>"))
 
 
+def surroundings(w: Column, found: list[str], reach: int) -> Column:
+    """For each of the words ``found`` in the array ``w``: token, at and near, the words less than
+    ``reach`` places from it, of which it is number ``at``."""
+    marked = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("token"), i.alias("i"))), lambda x: x["token"].isin(found))
+    start = lambda x: F.greatest(x["i"] - (reach - 1), F.lit(0))
+    return F.transform(marked, lambda x: F.struct(x["token"].alias("token"), (x["i"] - start(x)).alias("at"), F.slice(w, start(x) + 1, F.lit(2 * reach - 1)).alias("near")))
+
+
 def scan(docs: DataFrame, keep: list[str], text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``keep`` columns, n_words, n_base, first_word, last_word, base_labels and labels (arrays),
-    score, and matches (array of label, block, containment), for every row."""
+    score, and matches (array of label, block, containment), for every row.  A match over line ends has no
+    block and stands only where no line has the label to the same degree."""
     templates = TEMPLATES if templates is None else templates
     keep = [c for c in keep if c not in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches")]
     vocabulary = sorted({w for t in templates.values() for w in tokens(t)})
@@ -112,6 +128,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", templates: dict[s
     index = prefix_index(templates, freq, threshold)
     order = sorted(vocabulary, key=lambda w: (freq[w], w))
     gate = sorted({r[0] for r in index})
+    reach = max(r[6] for r in index)
     vocab = F.array(*map(F.lit, order))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     maybe = F.lit(False)
@@ -128,22 +145,32 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", templates: dict[s
     rows = rows.select(
         "_row", *keep, F.size(any_case_words(F.col("_b"))).cast("long").alias("n_words"),
         F.when(maybe, words(F.col("_b"))).alias("_w"), F.when(any_of(F.col("_b"), gate), blocks).alias("_blocks"),
+        F.when(F.col("_b").contains("\n") & any_of(F.col("_b"), gate), F.transform(F.array(words(F.col("_b"))), lambda w: surroundings(w, gate, reach))[0]).alias("_near"),
     )
     found = [F.coalesce(places(F.col("_w"), p), F.array().cast("array<int>")).alias(f"_p{i}") for i, p in enumerate(PHRASES)]
-    rows = stage(rows.select("_row", *keep, "n_words", "_blocks", *found), "licenses")
+    rows = stage(rows.select("_row", *keep, "n_words", "_blocks", "_near", *found), "licenses")
     some = rows.where("_blocks IS NOT NULL").select("_row", F.explode("_blocks").alias("b")).select("_row", "b.block", "b.tokens")
     some = some.select("_row", "block", "tokens", F.posexplode("tokens").alias("at", "token"))
-    table = rows.sparkSession.createDataFrame(index, "token string, label string, place int, size int, need int, own array<string>")
+    table = rows.sparkSession.createDataFrame(index, "token string, label string, place int, size int, need int, own array<string>, length int")
     pairs = some.join(F.broadcast(table), "token")
     left = F.least("place", "at") + 1 + F.least(F.col("size") - F.col("place") - 1, F.size("tokens") - F.col("at") - 1)
     pairs = pairs.where((F.size("tokens") >= F.col("need")) & (left >= F.col("need")))
     shared = F.size(F.array_intersect("tokens", "own"))
     pairs = pairs.withColumn("shared", shared).where("shared >= need").select("_row", "block", "label", (F.col("shared") / F.col("size")).alias("containment"))
+    runs = rows.where("size(_near) > 0").select("_row", F.explode("_near").alias("n")).select("_row", "n.*").join(F.broadcast(table), "token")
+    runs = runs.where(F.size(F.array_intersect("own", "near")) >= F.col("need"))
+    held = F.transform(F.sequence(F.greatest(F.col("at") - F.col("length") + 1, F.lit(0)), F.col("at")), lambda i: F.size(F.array_intersect("own", F.slice("near", i + 1, F.col("length")))))
+    runs = runs.withColumn("shared", F.array_max(held)).where("shared >= need").groupBy("_row", "label").agg(F.max(F.col("shared") / F.col("size")).alias("containment"))
+    pairs = pairs.unionByName(runs.withColumn("block", F.lit(None).cast("int")))
     best = pairs.groupBy("_row").agg(F.collect_set(F.struct("label", "block", "containment")).alias("matches"))
     out = rows.join(best, "_row", "left")
     every = F.concat(*[f"_p{i}" for i in range(len(PHRASES))])
     base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"_p{i}") > 0, label) for i, label in enumerate(PHRASES.values())])))
-    matches = F.coalesce("matches", F.array().cast("array<struct<label:string,block:int,containment:double>>"))
+    matches = F.filter(
+        "matches",
+        lambda m: m["block"].isNotNull() | ~F.exists("matches", lambda o: o["block"].isNotNull() & (o["label"] == m["label"]) & (o["containment"] >= m["containment"])),
+    )
+    matches = F.coalesce(matches, F.array().cast("array<struct<label:string,block:int,containment:double>>"))
     out = out.select(
         *keep, "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
         base.alias("base_labels"), matches.alias("matches"),

@@ -54,3 +54,20 @@ def test_prefix_filter():
     freq = {w: i for i, w in enumerate(L.tokens("a b c d e f g h i j"))}
     index = L.prefix_index({"t": "j i h g f e d c b a"}, freq, 0.8)
     assert [r[:5] for r in index] == [("a", "t", 0, 10, 8), ("b", "t", 1, 10, 8), ("c", "t", 2, 10, 8)]
+
+
+def test_wrapped_notices(spark):
+    """Every template, wrapped at 72 columns amid other text and with comment marks."""
+    import textwrap
+
+    rows = []
+    for label, t in L.TEMPLATES.items():
+        for before in (0, 5, 9):
+            lines = textwrap.wrap("zz " * before * 2 + t + " qq" * 40, 72) if len(t) > 72 or before else textwrap.wrap(t, 20)
+            rows.append((label, "intro\n\n" + "\n".join(f" * {x}" for x in lines)))
+    got = L.scan(spark.createDataFrame(rows, "doc_id string, text string"), ["doc_id"]).select("doc_id", "labels", "score", "matches").collect()
+    assert len(got) == len(rows) and all(r.doc_id in r.labels and r.score == 1 for r in got)
+    long = [r for r in got if r.doc_id.endswith("-notice")]
+    assert any(m.label == r.doc_id and m.block is None for r in long for m in r.matches)
+    far = L.scan(spark.createDataFrame([(1, L.TEMPLATES["mit-notice"].replace(" ", "\nzz zz "))], "doc_id int, text string"), ["doc_id"]).first()
+    assert far.labels == [] and far.score == 0
