@@ -11,7 +11,8 @@ the tasks first, and a host's few partial wrappers are merged afterwards.
 A page's text is then read through its host's wrapper: what stands in an article (or
 main part) if there is one, without regions that are menus, headers, footers,
 sidebars, notices, adverts, forms or comments by tag, role or class, and without
-slots that the wrapper found constant over the host's pages (template text).
+slots outside articles and main parts that the wrapper found constant over the host's
+pages (template text).
 
 NULL or empty html gives the empty text.  Repeated pages are read each.  A NULL or
 odd url counts as the host ''.  Broken markup (unclosed tags, stray ends, cut pages)
@@ -297,7 +298,7 @@ def blocks_of(root, wrapper: list | None = None) -> list[str]:
         wrap = wrap or ()
         for c, w in zip(node[2], _match(node[2], wrap) if wrap else [None] * len(node[2]), strict=True):
             if isinstance(c, str):
-                if (inside or not need) and not (w and w[1]):
+                if inside or not need and not (w and w[1]):
                     out.append(c)
             elif c[1] == 1 or (c[1] == 2 and not inside and not _has_main(c)):
                 continue

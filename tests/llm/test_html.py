@@ -56,3 +56,13 @@ def test_query_against_plain_reading(spark, sf):
         want[r.page_id] = "\n\n".join(p for p in parts if p)
     got = op1_html_extraction(spark, sf).collect()
     assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_copies_of_an_article_keep_its_own_parts(spark):
+    page = lambda i, more="": f"<body><div>Read it all here</div><article><h1>Title {i}</h1><p>text {i}</p>{more}</article></body>"
+    long = page(99, "<blockquote>only here</blockquote><h2>Last</h2><section><p>the end</p></section>")
+    rows = [(i, "http://h/", page(i)) for i in range(8)] + [(100 + i, "http://h/", long) for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in H.main_text(pages, ["page_id"]).collect()}
+    want = {i: f"Title {i}\n\ntext {i}" for i in range(8)} | {100 + i: "Title 99\n\ntext 99\n\nonly here\n\nLast\n\nthe end" for i in range(6)}
+    assert got == want
