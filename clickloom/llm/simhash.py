@@ -338,6 +338,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e = stage(e2, "edges")
         drop(big)
         drop(least)
+    else:
+        raise RuntimeError(f"components haven't converged in {max_rounds} rounds")
     return e.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("node"), "root")
 
 

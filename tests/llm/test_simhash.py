@@ -144,3 +144,10 @@ def test_query(spark, sf):
         k = root[int(r.fingerprint, 16)]
         least[k] = min(least.get(k, r.doc_id), r.doc_id)
     assert all(r.component_id == least[root[int(r.fingerprint, 16)]] for r in got) and len(least) < len(got)
+
+
+def test_components_do_not_stop_early(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        H.components(chain, 1)
+    assert {r.root for r in H.components(chain).collect()} == {0}
