@@ -20,18 +20,61 @@ def test_odd_pages():
     assert H.extract("</div></p>x</article>") == "x" and H.extract("<p>" * 3000 + "deep") == "deep"
     assert H.extract("<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
     assert H.extract("<span class='ad'>no</span><p>yes</p>") == "yes" and H.extract("<p hidden>no</p><p>yes</p>") == "yes"
-    assert H.extract("<p>a <script>x</script>b<img src=x> c<!-- d --><span class='ad'>no</span>d<wbr>e<input>f</p>") == "a b cdef"
+    assert H.extract("<p>a <script>x</script>b<img src=x> c<!-- d --><span class='ad'>no</span>d<wbr>e<input>f</p>") == "a b cnodef"
     assert H.extract("<p>a<hr>b<i>c</p>d</i>e") == "a\n\nbc\n\nde"
     long = "<article>" + "<p>word</p>" * 20_000 + "</article>"
     assert H.extract(long).count("word") == 20_000
 
 
 def test_wrapper_is_union_free():
-    f = lambda s: H.fold(H.parse(s))
-    w = H.align(f("<ul><li>a</li><li>b</li></ul><p>x</p>"), f("<ul><li>c</li></ul><div>d</div><p>x</p>"))
-    assert H.expression(w) == "<ul>(<li>#</>)+</>(<div>=</>)?<p>=</>"
-    alternating = f("".join(f"<h2>{i}</h2><p>{i}</p>" for i in range(60)))
-    assert len(alternating) == 2 and all(n[1] for n in alternating)
+    f = lambda *pages: H.expression(H.wrappers_of(list(pages)))
+    assert f("<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>c</li></ul><div>d</div><p>x</p>") == "<ul>(<li>#</>)+</>(<div>=</>)?<p>=</>"
+    assert f("".join(f"<h2>{i}</h2><p>{i}</p>" for i in range(60)), "<h2>x</h2>") == "((<h2>#</>)?(<p>=</>)?)+"
+
+
+def host(pages, url="http://h/"):
+    """Each page's text, read through the wrapper of all of them."""
+    w = H.wrappers_of(pages)
+    n = max(bin(r["seen"]).count("1") for r in w)
+    slots = {r["id"]: (r["chars"] / r["pages"], r["links"] / r["pages"], r["low"] == r["high"] and bin(r["seen"]).count("1") >= 3 and r["pages"] * 2 >= n) for r in w if r["label"] == "#"}
+    return [H.extract(p, slots) for p in pages]
+
+
+SOUP = """<body><div class="x1"><a href=/>Home</a> <a href=/a>About us</a></div><div class="q{k}"><h1>Title {i}</h1><div><p>{text}</p><p>End {i}.</p></div></div>
+<div class="t9">{tease}</div><div class="z">All of it is ours</div></body>"""
+
+
+def test_the_wrapper_alone_finds_the_text():
+    """Neither tags nor names tell the regions apart; on one page the teaser is longer than the text."""
+    pages = [SOUP.format(k=3, i=i, text=("Some sentence of the text here. " * (1 if i == 4 else 30 + i)).strip(), tease=f"Buy {i} more of these " * 4) for i in range(8)]
+    for i, got in enumerate(host(pages)):
+        assert got == "\n\n".join((f"Title {i}", ("Some sentence of the text here. " * (1 if i == 4 else 30 + i)).strip(), f"End {i}."))
+    assert H.extract(pages[4]) != host(pages)[4]
+
+
+def test_article_text_isnt_dropped():
+    for inner, want in (
+        ('<p>a b</p><section id="related-work"><p>c d</p></section>', "a b\n\nc d"), ('<div class="share-price">12</div><p class="ad-hoc">made</p>', "12\n\nmade"),
+        ('<p>see <a class="related" href=/x>this one</a> for more</p>', "see this one for more"), ("<h1>Same title</h1><p>text</p>", "Same title\n\ntext"),
+    ):
+        page = f"<body><nav>n</nav><article class='banner-story'>{inner}</article><footer>f</footer></body>"
+        assert H.extract(page) == want and host([page.replace("text", f"text {i}") for i in range(9)])[0].startswith(want[:3])
+    assert H.extract("<head><title>t</title><body><p>x</p></body>") == "x"
+    assert H.extract("<form><div>" + "words of the page " * 40 + "</div></form>").count("words") == 40
+    assert H.extract("<h1>out</h1><article>a</article><article>b</article><div>out</div>") == "a\n\nb"
+
+
+def test_depth_and_broken_markup_in_linear_time():
+    import time
+
+    began = time.process_time()
+    assert H.extract("<div>" * 5000 + "<nav>menu</nav>text") == "text"
+    assert H.extract("<p>" + "<b>" * 5000 + "<i hidden>no</i>yes") == "yes"
+    assert H.extract("<p>x</p>" + "<a " * 350_000) == "x"
+    H.extract('<a ">" ' * 60_000)
+    H.extract("<a " * 350_000 + ">")
+    H.extract("<ul>" + "<li>x" * 50_000)
+    assert time.process_time() - began < 8
 
 
 def test_template_text_of_a_host_goes(spark):
@@ -66,3 +109,10 @@ def test_copies_of_an_article_keep_its_own_parts(spark):
     got = {r.page_id: r.text for r in H.main_text(pages, ["page_id"]).collect()}
     want = {i: f"Title {i}\n\ntext {i}" for i in range(8)} | {100 + i: "Title 99\n\ntext 99\n\nonly here\n\nLast\n\nthe end" for i in range(6)}
     assert got == want
+
+
+def test_the_same_for_any_partitioning(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = [sorted(map(tuple, H.nodes(pages.repartition(n)).collect()), key=repr) for n in (1, 16)]
+    texts = [sorted(map(tuple, H.main_text(pages.repartition(n), ["page_id"]).collect())) for n in (1, 16)]
+    assert rows[0] == rows[1] and texts[0] == texts[1]
