@@ -10,7 +10,9 @@ places by their rank among pieces of the same length; ranks come from per-task
 counts, so that no length, however frequent, meets in one task.
 
 Nulls and empty texts have one piece with the end token alone.  Repeated rows are
-packed each.  An empty table gives no pieces.  Extra columns are ignored.
+packed each, ties of length take places in the order of their tasks.  Very long texts
+and runs of one character are encoded whole.  An empty table gives no pieces.  Extra
+columns are ignored; ``keep`` columns named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -32,28 +34,44 @@ def tokenizer_path(kind: str = "tiktoken") -> str:
 
 
 def encoder(path: str):
-    """text -> token ids as a numpy array of unsigned 32-bit numbers, without special tokens.
+    """text -> token ids as a numpy array of unsigned 32-bit numbers.  Nothing is added to the
+    text's own ids; where the text has the string of an added token, that is one id.
 
     A ``.json`` file is read by ``tokenizers``.  A ``.tiktoken`` file, which holds the ranks
-    of a byte-level BPE, is read by ``tiktoken``: the ids of a vocabulary that exists in both
-    forms are the same (tests hold them against each other), several times faster."""
+    of a byte-level BPE, is read by ``tiktoken`` with the added tokens of the ``.json`` file beside
+    it: the ids are the same (tests hold them against each other), several times faster.  Texts
+    whose runs of white space are too long for it go through ``tokenizers``."""
+    import json
+
     import numpy as np
 
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
         return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
     import base64
 
     import public_tokenizers
     import tiktoken
 
+    beside = path.removesuffix(".tiktoken") + ".json"
+    with open(beside) as f:
+        added = json.load(f)["added_tokens"]
+    whole = encoder(beside)
+    if any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in added):
+        return whole
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: enc.encode_to_numpy(text, disallowed_special=())
+    enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={a["content"]: a["id"] for a in added})
+
+    def encode(text: str):
+        try:
+            return enc.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its regular expressions have a stack of their own
+            return whole(text)
+
+    return encode
 
 
 def _cut(docs: DataFrame, keep: list[str], path: str | None, capacity: int, end_id: int):
