@@ -26,8 +26,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
-    warc.write(warc.resolve(table(spark, sf_dir, "pages")), path)
-    records = warc.read(spark, path)
+    written = warc.write(warc.resolve(table(spark, sf_dir, "pages")), path)
+    records = stage(warc.read(spark, path), "records")  # without payloads
+    if (n := records.count()) != written:
+        raise RuntimeError(f"{written} records were written, {n} read")
     broken = F.raise_error(F.lit("an archive's payload doesn't match its headers"))
     return records.select(
         F.when(F.col("sound"), F.col("page_id")).otherwise(broken).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",

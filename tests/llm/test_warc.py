@@ -1,8 +1,11 @@
 import base64
 import gzip
 import hashlib
+import re
 from pathlib import Path
 
+import pytest
+
 from clickloom.llm import warc
 
 ROWS = [
@@ -35,8 +38,8 @@ def pages(spark, rows=ROWS):
 
 
 def test_round_trip(spark, tmp_path):
-    for name, least, how in (("a", 0, "gzip"), ("b", 5, "gzip")):
-        warc.write(warc.resolve(pages(spark), min_bytes=least), f"{tmp_path}/{name}", compression=how)
+    for name, least in (("a", 0), ("b", 5)):
+        assert warc.write(warc.resolve(pages(spark), min_bytes=least), f"{tmp_path}/{name}") == len(ROWS)
         assert got(warc.read(spark, f"{tmp_path}/{name}")) == expected(ROWS, least)
     full = {r.page_id: r.payload for r in warc.read(spark, f"{tmp_path}/a", payload=True).where("record_type = 'response'").collect()}
     assert full["8"].decode() == ROWS[8][2] and full["7"] == b"\r\n\r\nWARC/1.0\r\n"
@@ -55,6 +58,29 @@ def test_files_are_warc(spark, tmp_path):
     assert n == 3
 
 
+def test_headers_are_fresh(spark, tmp_path):
+    """Record ids are unique, revisits name the response's, dates are of the writing."""
+    warc.write(warc.resolve(pages(spark)), f"{tmp_path}/h")
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in Path(tmp_path, "h").glob("*.gz"))
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", raw)
+    assert len(set(ids)) == len(ids) == len(ROWS) and all(re.fullmatch(rb"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", i) for i in ids)
+    same = [h for h in raw.split(b"WARC/1.0\r\n") if b"WARC-Target-URI: u3\r\n" in h or b"X-Page-Id: 3\r\n" in h][0]
+    refers = set(re.findall(rb"WARC-Refers-To: (\S+)", raw))
+    assert refers <= set(ids) and re.search(rb"WARC-Record-ID: (\S+)", same)[1] in refers
+    assert b"WARC-Date: 1970" not in raw
+
+
+def test_a_short_archive_is_an_error(spark, tmp_path):
+    warc.write(warc.resolve(pages(spark, [(i, "u", f"payload {i} " * 50) for i in range(3)]).coalesce(1)), f"{tmp_path}/s")
+    (file,) = [p for p in Path(tmp_path, "s").glob("*.gz") if len(gzip.decompress(p.read_bytes()))]
+    raw = gzip.decompress(file.read_bytes())
+    Path(tmp_path, "cut").mkdir()
+    for cut in (60, 700, len(raw) - 40):
+        Path(tmp_path, "cut", "a.gz").write_bytes(gzip.compress(raw[:-cut]))
+        with pytest.raises(Exception, match="ends inside a record|without whole headers"):
+            warc.read(spark, f"{tmp_path}/cut").collect()
+
+
 def test_empty(spark, tmp_path):
     warc.write(warc.resolve(pages(spark).where("false")), f"{tmp_path}/e")
     assert warc.read(spark, f"{tmp_path}/e").count() == 0
