@@ -5,8 +5,10 @@ threshold conjunctions by sequential covering, and :class:`DecisionList` turns
 them into one ordered ``CASE WHEN`` expression that Spark runs inside codegen.
 
 Nulls, empty texts: no words, all statistics 0.  Repeated rows are rows of their
-own.  An empty table, or labels of one class only, gives an empty list, which
-keeps everything.  Input columns named like a statistic are replaced.
+own; of labelled rows that share a doc_id one is learned from, and ties of information gain
+go to the first feature.  Very long texts are read whole.  An empty table, or labels of one class
+only, gives an empty list, which keeps all that the base rules keep.  Input columns named
+like a statistic are replaced, other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -129,20 +131,30 @@ class DecisionList:
         return F.lit(0) if out is None else out.otherwise(0)
 
 
-def learn(x, bad, fold, names: list[str], max_rules: int = 12, max_tests: int = 3, cuts: int = 64, min_precision: float = 0.9, min_cover: int = 5) -> DecisionList:
+def merged(tests: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
+    """One test for each feature and direction: the strictest."""
+    out: dict[tuple[str, str], float] = {}
+    for f, op, v in tests:
+        old = out.get((f, op), v)
+        out[f, op] = max(old, v) if op == ">=" else min(old, v)
+    return [(f, op, v) for (f, op), v in out.items()]
+
+
+def learn(x, bad, fold, names: list[str], max_tests: int = 3, min_precision: float = 0.9, min_cover: int = 5) -> DecisionList:
     """Sequential covering: ``x`` (rows, features), ``bad`` bool, ``fold`` True for rows
     that grow rules; the others prune them.
 
     A rule grows by the test of highest information gain, then loses its last tests
     as long as that doesn't lower (p - n) / (p + n) on the pruning rows, and is
     accepted if its precision on them is at least ``min_precision``.  After a rule
-    that isn't, the next one begins with another feature and direction.
+    that isn't, the next one begins with another feature and direction, until none is left.
+    Every threshold between two values is tried.
     """
     import numpy as np
 
     out, left = DecisionList(), np.ones(len(x), bool)
     refused: set[tuple[str, str]] = set()
-    while len(out.rules) < max_rules:
+    while True:
         grow, prune = left & fold, left & ~fold
         if (bad & grow).sum() < min_cover or not (bad & prune).any():
             break
@@ -155,8 +167,6 @@ def learn(x, bad, fold, names: list[str], max_rules: int = 12, max_tests: int =
                 order = np.argsort(v, kind="stable")
                 v, b = v[order], bad[on][order]
                 at = np.flatnonzero(np.diff(v) > 0) + 1  # a cut before each of these rows
-                if len(at) > cuts:
-                    at = at[np.linspace(0, len(at) - 1, cuts).astype(int)] if len(at) > 4096 else at
                 pos = np.concatenate(([0], np.cumsum(b)))
                 for op, p, size in (("<", pos[at], at), (">=", pos[-1] - pos[at], len(v) - at)):
                     if not rule and (f, op) in refused:
@@ -192,27 +202,31 @@ def learn(x, bad, fold, names: list[str], max_rules: int = 12, max_tests: int =
             refused.add(rule[0][:2])
             continue
         refused.clear()
-        out.rules.append(Rule(rule, int((m & left).sum()), float(p / (p + n))))
+        out.rules.append(Rule(merged(rule), int((m & left).sum()), float(p / (p + n))))
         left &= ~m
     return out
 
 
 def fit(stats: DataFrame, labels: DataFrame, max_rows: int = 20_000, **how) -> DecisionList:
     """Learn from the rows of ``stats`` that at most ``max_rows`` labels are about (those of
-    the smallest hash of doc_id), label 0 being what rules reject."""
+    the smallest hash of doc_id), label 0 being what rules reject.  Rows that the base rules
+    reject have nothing to teach."""
     import numpy as np
 
     cols = features()
     known = clean_labels(labels).withColumn("h", F.xxhash64("doc_id"))
     one = F.min(F.struct(*(c.alias(k) for k, c in cols.items()))).alias("x")  # of rows that share a doc_id
-    rows = stats.join(smallest(known, "h", max_rows, "doc_id"), "doc_id").groupBy("doc_id", "h", "label").agg(one).select("h", "label", "x.*").orderBy("h", "label", *cols).collect()
+    rows = stats.where(~base_failed()).join(smallest(known, "h", max_rows, "doc_id"), "doc_id").groupBy("doc_id", "h", "label").agg(one).select("h", "label", "x.*").orderBy("h", "label", *cols).collect()
     if not rows:
         return DecisionList()
     a = np.array([tuple(r) for r in rows], dtype=object)
     return learn(a[:, 2:].astype(float), a[:, 1].astype(int) == 0, a[:, 0].astype(np.int64) % 3 != 0, list(cols), **how)
 
 
-def judge(stats: DataFrame, rules: DecisionList, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+
+
+def judge(stats: DataFrame, rules: DecisionList) -> DataFrame:
     """``stats`` with base_failed, rule (0: none holds) and kept."""
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return stats.withColumn("base_failed", failed).withColumn("rule", rules.verdict()).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    return stats.withColumn("base_failed", base_failed()).withColumn("rule", rules.verdict()).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

@@ -61,3 +61,28 @@ def test_held_labels(spark, sf):
     got = op2_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     n = {(r.quality, r.kept): r["count"] for r in got.where("NOT base_failed").groupBy("quality", "kept").count().collect()}
     assert n.get((1, False), 0) <= 0.01 * n[1, True] and n.get((0, True), 0) <= 0.05 * n[0, False]
+
+
+def test_kept_against_the_rules_read_one_by_one(spark, docs, sf):
+    stats = R.text_stats(docs, ["doc_id"]).cache()
+    rules = R.fit(stats, spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet"))
+    for r in R.judge(stats, rules).collect():
+        w, c = max(r.n_words, 1), max(r.word_chars, 1)
+        x = {
+            "symbol_ratio": r.n_symbols / c, "repeat_ratio": r.n_repeat_words / w, "dup_line_ratio": r.n_dup_lines / max(r.n_lines, 1), "upper_ratio": r.n_upper / max(r.n_upper + r.n_lower, 1),
+            "mark_ratio": r.n_marks / w, "word_length": r.word_chars / w,
+        }
+        first = next((i for i, rule in enumerate(rules.rules, 1) if all(x[f] >= v if op == ">=" else x[f] < v for f, op, v in rule.tests)), 0)
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert (r.rule, r.base_failed, r.kept) == (first, failed, not failed and not first)
+
+
+def test_tests_of_one_direction_are_merged():
+    assert R.merged([("a", ">=", 0.1), ("b", "<", 3.0), ("a", ">=", 0.5), ("b", "<", 4.0)]) == [("a", ">=", 0.5), ("b", "<", 3.0)]
+
+
+def test_many_values_are_all_tried():
+    rng = np.random.default_rng(2)
+    x = rng.random((20_000, 1))
+    rules = R.learn(x, x[:, 0] > 0.98765, np.arange(20_000) % 3 != 0, ["a"]).rules
+    assert len(rules) == 1 and abs(rules[0].tests[0][2] - 0.98765) < 2e-4
