@@ -6,8 +6,10 @@ numpy network embeds it, gated attention weighs the embeddings, and the weighted
 mean gives the document's score.  Only document labels are needed.
 
 Nulls and texts without words: one passage with zero features, so they get a score
-too.  Repeated rows are scored alike.  Without labelled rows, or with labels of one
-class only, every score is the share of that class (0.5 if there is none).
+too.  Very long texts are scored whole.  Repeated rows are scored alike; of labelled rows that
+share a doc_id one is learned from, and ties of sampling go by doc_id.  Without labelled rows, or with
+labels of one class only, every score is the share of that class (0.5 if there is none).  Empty tables
+give empty tables.  Extra columns are ignored; a ``keep`` column named score is replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import types as T
 from .common import clean_labels, smallest, text_chunks, with_text
 
 PASSAGE = 64  # words
+MOST_PASSAGES = 64  # of a document to learn from, evenly spaced over its text: bounds what the driver gets to 110 MB
 BUCKETS = 96  # of the hashed bag of words
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"#*$%&|<>", b"!?", b".,;:'\"()-", bytes(range(128, 256)))
 SHARE = len(CLASSES) + 2  # the column that has the passage's words as a share of PASSAGE; no feature
@@ -116,8 +119,8 @@ class Model:
             return np.full(len(starts), self.constant, np.float64)
         return self.forward(x, starts)[0].astype(np.float64)
 
-    def train(self, x, starts, y, epochs: int = 25, batch: int = 256, rate: float = 5e-3, decay: float = 1e-4, seed: int = 7):
-        """Adam on the cross-entropy of the documents' labels."""
+    def train(self, x, starts, y, weight=None, epochs: int = 25, batch: int = 256, rate: float = 5e-3, decay: float = 1e-4, seed: int = 7):
+        """Adam on the cross-entropy of the documents' labels, each with its ``weight``."""
         import numpy as np
 
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-2
@@ -129,7 +132,7 @@ class Model:
                 rows = np.concatenate([np.arange(starts[i], starts[i] + n[i]) for i in ids])
                 at = np.concatenate(([0], np.cumsum(n[ids])[:-1]))
                 s, (xs, h, t, g, a, z, k) = self.forward(x[rows], at)
-                d = (s - y[ids]) / len(ids)
+                d = (s - y[ids]) / len(ids) * (1 if weight is None else weight[ids])
                 dz = d[:, None] * p["c"]
                 dzr = np.repeat(dz, k, 0)
                 da = (dzr * h).sum(1)
@@ -153,15 +156,17 @@ def held_out(doc_id="doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4_000, seed: int = 7) -> Model:
     """Learn from at most ``max_docs`` labelled documents that aren't held out: half of
-    them at most of either label, those of the smallest hash of doc_id.  A few words out of
-    each document of label 1 are learned as a document of that label, too: a text isn't bad
+    them at most of either label, those of the smallest hash of doc_id.  Each weighs as many
+    labelled documents as it stands for, so the labels' shares are the same at any size.  A few words
+    out of each document of label 1 are learned as a document of that label, too: a text isn't bad
     for being short."""
     import numpy as np
 
     known = clean_labels(labels).where(~held_out()).withColumn("_h", F.xxhash64("doc_id"))
-    ids = None
+    ids, share = None, []
     for label in (0, 1):
         part = smallest(known.where(F.col("label") == label), "_h", max_docs // 2, "doc_id").select("doc_id", "label")
+        share.append(known.where(F.col("label") == label).count())
         ids = part if ids is None else ids.unionAll(part)
     schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("x", T.BinaryType())])
 
@@ -180,13 +185,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4_000, seed: int = 7
                     label.append(1)
                     h.append(h[i])
             x, n = encode(texts)
-            cuts = np.cumsum(n)[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(h, pa.int64()), pa.array([v.tobytes() for v in np.split(x, cuts)], pa.binary())], names=["label", "h", "x"])
+            some = [v if len(v) <= MOST_PASSAGES else v[np.linspace(0, len(v) - 1, MOST_PASSAGES).astype(int)] for v in np.split(x, np.cumsum(n)[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(h, pa.int64()), pa.array([v.tobytes() for v in some], pa.binary())], names=["label", "h", "x"])
 
     rows = (
         docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
         .groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one of rows that share a doc_id
-        .select("label", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(run, schema).collect()
+        .select("label", F.xxhash64("text").alias("h"), "text").mapInArrow(run, schema).collect()
     )
     rows = sorted(rows, key=lambda r: (r.h, r.label, bytes(r.x)))
     model = Model(seed)
@@ -194,9 +199,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4_000, seed: int = 7
     if len(set(y.tolist())) < 2:
         model.constant = float(y.mean()) if len(y) else 0.5
         return model
+    each = np.array([share[k] / max((y == k).sum() if k == 0 else (y == k).sum() / 2, 1) for k in (0, 1)], np.float32)
+    weight = each[y.astype(int)]
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in rows]
     starts = np.concatenate(([0], np.cumsum([len(b) for b in bags])[:-1]))
-    return model.train(np.concatenate(bags), starts, y)
+    return model.train(np.concatenate(bags), starts, y, weight / weight.mean())
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], out: str = "score") -> DataFrame:

@@ -53,3 +53,37 @@ def test_labels_of_held_out_rows_are_not_used(spark, docs, sf):
     assert all(np.array_equal(a.p[k], b.p[k]) for k in a.p)
     with pytest.raises(AssertionError):
         assert np.array_equal(a.p["c"], C.fit(docs, known.limit(20)).p["c"])
+
+
+def test_scores_against_one_document_after_the_other(spark, docs, sf, texts):
+    """The gated attention written out for a document's passages, which are encoded alone."""
+    model = C.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    p, sigmoid = {k: v.astype(float) for k, v in model.p.items()}, lambda z: 1 / (1 + np.exp(-z))
+    got = {r.doc_id: r.score for r in C.score(docs, model, ["doc_id"]).collect()}
+    for d, t in texts.items():
+        words, rows = (t or "").encode().split(), []
+        for i in range(0, max(len(words), 1), C.PASSAGE):
+            x = C.encode([b" ".join(words[i : i + C.PASSAGE])])[0][0].astype(float)
+            share, x = x[C.SHARE], (x - model.mean) / model.scale
+            x[C.SHARE + 1 :] *= share
+            x[C.SHARE] = 0
+            rows.append(np.tanh(x @ p["W"] + p["Wb"]))
+        e = [float((np.tanh(h @ p["V"]) * sigmoid(h @ p["U"])) @ p["w"]) for h in rows]
+        a = np.exp(np.array(e) - max(e))
+        z = sum(k * h for k, h in zip(a / a.sum(), rows, strict=True))
+        assert abs(got[d] - sigmoid(z @ p["c"] + p["b"][0])) < 1e-3
+
+
+def test_weights_stand_for_all_labelled_documents(spark):
+    rows = [(i, "good words here " * 30 if i % 4 else "$$ %% ## " * 30, int(i % 4 > 0)) for i in range(800)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, quality int")
+    for most in (40, 4000):
+        s = {r.doc_id: r.score for r in C.score(docs, C.fit(docs, labels, max_docs=most), ["doc_id"]).collect()}
+        assert all((s[i] > 0.7) == bool(q) for i, _, q in rows)
+
+
+def test_long_and_clashing(spark, labels):
+    docs = spark.createDataFrame([(1, "a b c d " * 50_000, "x", 2.0), (2, None, "y", 3.0)], "doc_id bigint, text string, label string, score double")
+    got = C.score(docs, C.fit(docs, labels), ["doc_id", "label", "score"]).collect()
+    assert [r.label for r in sorted(got)] == ["x", "y"] and all(0 <= r.score <= 1 for r in got)
