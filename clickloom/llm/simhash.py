@@ -4,15 +4,19 @@
 * :func:`links` finds which fingerprints differ in at most ``radius`` bits.  Bits
   that correlate over the corpus are grouped into partitions; dynamic programming
   gives each partition its own threshold (-1: not probed) such that the estimated
-  number of candidates is least and the thresholds add up to
-  ``radius - partitions + 1``, which loses no link; probes that meet in a bucket
-  are verified, and a bucket emits a spanning forest of its links, not all pairs.
+  cost of probes and candidates is least and the thresholds add up to
+  ``radius - partitions + 1``, which loses no link.  The number of partitions is the one
+  of least cost: more fingerprints make fewer partitions with higher thresholds worth
+  their probes.  Probes that meet in a bucket are verified, and a bucket emits a spanning
+  forest of its links, not all pairs.
 * :func:`components` joins links to connected components (alternating large and
   small stars, each round staged in the shared folder).
 
 Nulls, empty texts and texts without words have fingerprint zero and are linked
-like any other.  Repeated rows get the same class.  A NULL doc_id names a class only
-if all its rows have none.  Extra columns are ignored.
+like any other; very long texts are read whole.  Repeated rows get the same class, and of
+equal doc_ids the least ``tie`` is the keeper.  A NULL doc_id names a class only if all its
+rows have none.  Empty tables give empty tables.  Extra columns are ignored; ``keep`` columns
+named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_BYTES, drop, stage, text_chunks, with_text
+from .common import LOWER_BYTES, drop, smallest, stage, text_chunks, with_text
 
 LONG = T.LongType()
 
@@ -133,8 +137,8 @@ def within(differ, most: int) -> list[float]:
     return np.cumsum(d[:-1]).tolist()
 
 
-def allocate(candidates: list[list[float]], radius: int) -> list[int]:
-    """Thresholds from -1 up, adding up to ``radius - parts + 1``, of least total
+def allocate(candidates: list[list[float]], radius: int) -> tuple[float, list[int]]:
+    """(cost, thresholds): from -1 up, adding up to ``radius - parts + 1``, of least total
     cost; ``candidates[i][t]`` is what partition i costs at threshold t (none at -1)."""
     parts, target = len(candidates), radius - len(candidates) + 1
     best = {0: (0.0, [])}
@@ -147,7 +151,19 @@ def allocate(candidates: list[list[float]], radius: int) -> list[int]:
                     new[at[0]] = at[1:]
         best = new
     assert parts and target in best
-    return best[target][1]
+    return best[target]
+
+
+def close_pairs(fps, masks: list[int], radius: int):
+    """For each mask the pairs of ``fps`` that differ in at most t of its bits, t to ``radius``."""
+    import numpy as np
+
+    out = np.zeros((len(masks), radius + 1), np.int64)
+    for i in range(len(fps) - 1):
+        x = fps[i + 1 :] ^ fps[i]
+        for k, m in enumerate(masks):
+            out[k] += np.bincount(np.minimum(np.bitwise_count(x & np.uint64(m)), radius + 1), minlength=radius + 2)[:-1]
+    return np.cumsum(out, axis=1)
 
 
 def mask_of(bits: list[int]) -> int:
@@ -158,35 +174,46 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def plan(uniq: DataFrame, radius: int = 3, parts: int = 4, most_in_bucket: int = 2_000_000) -> list[tuple[int, int]]:
+def plan(uniq: DataFrame, radius: int = 3, parts: int | None = None, most_in_bucket: int = 2_000_000, sample: int = 4096, probe: float = 50.0) -> list[tuple[int, int]]:
     """[(mask, threshold)]: the probes that together find every link.
 
-    Candidates of a partition at threshold 0 are counted over all fingerprints;
-    for higher thresholds they are scaled by the rates at which single bits differ.
-    Where a bucket would hold more than ``most_in_bucket`` fingerprints, its mask is
-    refined: the other bits, which hold the differences, are again cut into
-    ``radius + 1`` blocks, one of which must be equal.
+    Candidates are counted: at threshold 0 over all fingerprints, for higher thresholds (and to
+    compare numbers of partitions, where ``parts`` is None) among the pairs of ``sample``
+    fingerprints, or where that finds hardly any, by the rates at which single bits differ over all.
+    The sample decides on costs alone; any plan finds every link.  ``probe``: what sending a
+    probe costs, in candidates.  Where a bucket would hold more than ``most_in_bucket``
+    fingerprints, its mask is refined: the other bits, which hold the differences, are again cut
+    into ``radius + 1`` blocks, one of which must be equal.
     """
     import numpy as np
 
     n, both = bit_counts(uniq)
     if n < 2:
         return []
-    groups = group_bits(n, both, parts)
-    p = np.diag(both) / n
+    p, pairs = np.diag(both) / n, n * (n - 1) / 2
+    few = np.array([r.fp for r in smallest(uniq.select("fp", F.xxhash64("fp").alias("_h")), "_h", sample, "fp").collect()], np.int64).view(np.uint64)
+
+    def costs(groups, exact=None):
+        near, out = close_pairs(few, [mask_of(g) for g in groups], radius), []
+        for i, g in enumerate(groups):
+            model, variants, cost = within(2 * p[g] * (1 - p[g]), radius), 0, []
+            for t in range(radius + 1):
+                variants += _choose(len(g), t)
+                rate = near[i, t] / max(len(few) * (len(few) - 1) / 2, 1)
+                found = pairs * (rate if near[i, t] >= 10 else max(rate, model[t]))
+                if exact is not None:
+                    found = exact[i] if t == 0 else max(found, exact[i])
+                cost.append(found * (1 if t == 0 else 2) + probe * n * variants)  # with t > 0 pairs meet more than once
+            out.append(cost)
+        return out
+
+    choice = [group_bits(n, both, k) for k in ([parts] if parts else range(1, radius + 2))]
+    groups = min(choice, key=lambda g: allocate(costs(g), radius)[0])
     keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(mask_of(g)))).alias("key")) for i, g in enumerate(groups)])
     sizes = uniq.select(F.explode(keys).alias("k")).groupBy("k.part", "k.key").count()
     found = {r.part: r for r in sizes.groupBy("part").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs"), F.max("count").alias("top")).collect()}
-    costs = []
-    for i, g in enumerate(groups):
-        w, q = within(2 * p[g] * (1 - p[g]), radius), len(g)
-        variants, cost = 0, []
-        for t in range(radius + 1):
-            variants += _choose(q, t)
-            cost.append((found[i].pairs + 1) * min(w[t] / max(w[0], 1e-300), variants**2) + 50.0 * n * variants)
-        costs.append(cost)
     out = []
-    for i, t in enumerate(allocate(costs, radius)):
+    for i, t in enumerate(allocate(costs(groups, [found[i].pairs for i in range(len(groups))]), radius)[1]):
         if t < 0:
             continue
         masks, top = [mask_of(groups[i])], found[i].top
@@ -241,7 +268,7 @@ def spanning_forest(fps, radius: int):
     return edges
 
 
-def links(uniq: DataFrame, radius: int = 3, parts: int = 4) -> DataFrame:
+def links(uniq: DataFrame, radius: int = 3, parts: int | None = None) -> DataFrame:
     """(a, b) with a spanning forest of each bucket's links between distinct fingerprints."""
     import numpy as np
 
@@ -317,12 +344,13 @@ def links(uniq: DataFrame, radius: int = 3, parts: int = 4) -> DataFrame:
 # ---- connected components
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): the least node of each node's component, for nodes with an edge."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node of each node's component, for nodes with an edge.  Rounds go
+    on until the edges stay as they are; their number grows with the logarithm of a chain's length."""
     low, high = F.least("a", "b"), F.greatest("a", "b")
     e = stage(edges.where("a <> b").select(low.alias("a"), high.alias("b")).distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         mark = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == seen or not mark.n:
             break
@@ -338,12 +366,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e = stage(e2, "edges")
         drop(big)
         drop(least)
-    else:
-        raise RuntimeError(f"components haven't converged in {max_rounds} rounds")
     return e.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("node"), "root")
 
 
-def near_duplicates(docs: DataFrame, keep: list[str], width: int = 3, radius: int = 3, parts: int = 4, tie: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, keep: list[str], width: int = 3, radius: int = 3, parts: int | None = None, tie: str | None = None) -> DataFrame:
     """``keep`` columns (with doc_id), fp and component_id, the smallest doc_id that can be
     reached over links, for every row.  With ``tie``, a long column of ``keep`` that
     tells rows of one doc_id apart, also keeper: the least ``tie`` of the class's rows

@@ -48,7 +48,8 @@ def test_allocation_is_optimal():
     for parts in (2, 3, 4, 5):
         cost = [sorted(rng.random() * 9 for _ in range(4)) for _ in range(parts)]
         value = lambda ts: sum(c[t] for c, t in zip(cost, ts) if t >= 0)  # noqa: B023, B905, E731
-        ts = H.allocate(cost, 3)
+        total, ts = H.allocate(cost, 3)
+        assert total == pytest.approx(value(ts))
         assert sum(ts) == 4 - parts
         assert value(ts) == pytest.approx(min(value(x) for x in itertools.product(range(-1, 4), repeat=parts) if sum(x) == 4 - parts))
 
@@ -81,7 +82,7 @@ def test_large_forest_is_cut():
     assert {f: find(f) for f in got} == classes(map(int, fps))
 
 
-@pytest.mark.parametrize("parts", [3, 4, 6])
+@pytest.mark.parametrize("parts", [2, 3, 4, 6])
 def test_links_and_components(spark, parts):
     rng = random.Random(parts)
     base = [rng.getrandbits(64) for _ in range(60)]
@@ -99,7 +100,7 @@ def test_refined_masks_lose_nothing(spark):
     fps = {rng.getrandbits(64) & ~0xFFFF for _ in range(50)}
     fps |= {f ^ 1 << 40 ^ 1 << 20 for f in list(fps)[:20]}
     uniq = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp bigint").cache()
-    coarse, fine = H.plan(uniq), H.plan(uniq, most_in_bucket=5)
+    coarse, fine = H.plan(uniq, 3, 4, probe=1e9), H.plan(uniq, 3, 4, 5, probe=1e9)
     assert len(fine) > len(coarse)
     plan, H.plan = H.plan, lambda *a: fine
     try:
@@ -146,8 +147,32 @@ def test_query(spark, sf):
     assert all(r.component_id == least[root[int(r.fingerprint, 16)]] for r in got) and len(least) < len(got)
 
 
-def test_components_do_not_stop_early(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
-    with pytest.raises(RuntimeError):
-        H.components(chain, 1)
+def test_long_chains_converge(spark):
+    chain = spark.createDataFrame([(i * 7919 % 601, (i + 1) * 7919 % 601) for i in range(600)], "a long, b long")
     assert {r.root for r in H.components(chain).collect()} == {0}
+
+
+def test_unequal_thresholds_on_a_correlated_corpus(spark):
+    """Sixteen bits are set together or not at all, so their partition isn't worth a probe."""
+    rng = np.random.default_rng(4)
+    block = np.uint64(H.mask_of(list(range(3, 64, 4))))
+    fps = np.where(rng.random(20_000) < 0.5, block, np.uint64(0)) | (rng.integers(0, 2**63, 20_000).astype(np.uint64) & ~block)
+    near = [int(f) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(1, 4), replace=False)) for f in fps[:400]]
+    fps = sorted({*map(int, fps), *near})
+    uniq = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp bigint").repartition(4).cache()
+    probes = H.plan(uniq)
+    assert len({t for _, t in probes}) > 1 and not any(m == int(block) for m, _ in probes)
+    got = {f: f for f in fps}
+    for r in H.components(H.links(uniq)).collect():
+        got[r.node & (2**64 - 1)] = r.root & (2**64 - 1)
+    want, sets = classes(fps), {}
+    for f in fps:
+        sets.setdefault(got[f], set()).add(want[f])
+    assert all(len(v) == 1 for v in sets.values()) and len(sets) == len(set(want.values()))
+
+
+def test_more_fingerprints_take_fewer_partitions(spark):
+    """What a probe costs falls against candidates as their number grows."""
+    rng = np.random.default_rng(6)
+    uniq = spark.createDataFrame([(int(f),) for f in rng.integers(-(2**62), 2**62, 5000)], "fp bigint").cache()
+    assert len(H.plan(uniq)) == 4 and len(H.plan(uniq, probe=1e-5)) < 4
