@@ -8,24 +8,30 @@ stored as a table (one row a block) and can be searched any number of times.
 Searching a block for a phrase intersects the offset-adjusted position lists from
 the rarest term on; a term that the block lacks ends the search at once.  Proximity
 search keeps the anchors (occurrences of the rarest term) which have every other
-term near enough.  Queries go to the blocks in chunks of bounded size.
+term near enough.  Queries go to the blocks in chunks of bounded size, one pass after the
+other, each of which stores what it has found (nothing for most documents); so neither
+the plan nor the driver's memory grows with the queries.
 
 The index may be limited to terms whose hash is marked in a bitmap of fixed size
 (made from the terms of the queries): this loses no match and keeps postings of
 words that no query has out of storage.
 
-Nulls and texts without words have no tokens and no hits.  Repeated documents and
-repeated items count each for itself, an item_id once.  Items with a NULL item_id
-mark words but aren't counted as items.  Empty tables give no hits.
+Nulls and texts without words have no tokens and no hits.  Very long texts are blocks of
+their own.  Repeated documents and repeated items count each for itself, an item_id once.
+Items with a NULL item_id mark words but aren't counted as items.  Of terms that are
+equally rare the first one leads.  Empty tables give no hits.  Extra columns are ignored;
+``keep`` columns named like a result column are replaced.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_BYTES, stage, text_chunks, with_text
+from .common import ALNUM_BYTES, new_path, stage, text_chunks, with_text
 
 WINDOW = 13
 BITMAP_BITS = 1 << 23
@@ -91,7 +97,7 @@ class _Terms(dict):
 
 
 BLOCK = [
-    ("n_words", T.ArrayType(T.LongType())), ("starts", T.ArrayType(T.LongType())), ("terms", T.ArrayType(T.BinaryType())),
+    ("block", T.LongType()), ("n_words", T.ArrayType(T.LongType())), ("starts", T.ArrayType(T.LongType())), ("terms", T.ArrayType(T.BinaryType())),
     ("ends", T.ArrayType(T.LongType())), ("postings", T.BinaryType()),
 ]
 
@@ -103,9 +109,13 @@ def build(docs: DataFrame, keep: list[str], bitmap: bytes | None = None, text: s
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
+        import itertools
+
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        number_of = itertools.count(TaskContext.get().partitionId() << 33)
         bits = None if sent.value is None else bytes(np.unpackbits(np.frombuffer(sent.value, np.uint8)))
         for part, texts in text_chunks(batches, "_text", BLOCK_BYTES):
             number, ids, n_words = _Terms(bits), [], []
@@ -122,7 +132,7 @@ def build(docs: DataFrame, keep: list[str], bitmap: bytes | None = None, text: s
             rows = pa.StructArray.from_arrays([part.column(i) for i in range(len(keep))], names=keep)
             whole = lambda a, kind: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, kind))
             yield pa.RecordBatch.from_arrays([
-                pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), whole(n_words, pa.int64()), whole(starts, pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([next(number_of)], pa.int64()), whole(n_words, pa.int64()), whole(starts, pa.int64()),
                 whole(number.names, pa.binary()), whole(ends, pa.int64()), pa.array([order.tobytes()], pa.binary()),
             ], names=["rows", *(a for a, _ in BLOCK)])
 
@@ -197,8 +207,12 @@ def query_chunks(items: DataFrame, max_bytes: int = QUERY_BYTES):
         yield chunk
 
 
-def _search(index: DataFrame, chunk, keep_fields, width: int, near: int | None) -> DataFrame:
-    schema = T.StructType([*keep_fields, T.StructField("n_words", T.LongType()), T.StructField("hits", HITS), T.StructField("items", T.ArrayType(T.StringType()))])
+FOUND = T.StructType([T.StructField("_block", T.LongType()), T.StructField("_doc", T.LongType()), T.StructField("hits", HITS), T.StructField("items", T.ArrayType(T.StringType()))])
+
+
+def _search(index: DataFrame, chunk, keep_fields, width: int, near: int | None, sparse: bool = False) -> DataFrame:
+    """A row for each document, or with ``sparse`` (its block, its place in it) for those that have something."""
+    schema = FOUND if sparse else T.StructType([*keep_fields, T.StructField("n_words", T.LongType()), *FOUND.fields[2:]])
     sent = index.sparkSession.sparkContext.broadcast(chunk)  # QUERY_BYTES and one text at most
     names = [f.name for f in keep_fields]
 
@@ -235,6 +249,11 @@ def _search(index: DataFrame, chunk, keep_fields, width: int, near: int | None)
                 offsets = np.searchsorted(doc, np.arange(len(n_words) + 1))
                 runs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(lo - starts[doc], pa.int64()), pa.array(hi - starts[doc], pa.int64())], names=["start", "stop"]))
                 items = pa.array([sorted(x for x in found.get(d, ()) if x is not None) for d in range(len(n_words))], pa.list_(pa.string()))
+                if sparse:
+                    some = pa.array(sorted(found), pa.int64())
+                    own = pa.array(np.full(len(some), col["block"][i].as_py()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([own, some, runs.take(some), items.take(some)], names=FOUND.names)
+                    continue
                 yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(n_words, pa.int64()), runs, items], names=[*names, "n_words", "hits", "items"])
 
     return index.mapInArrow(run, schema)
@@ -249,27 +268,28 @@ def search(index: DataFrame, items: DataFrame, width: int = WINDOW, near: int |
     the hits are the rarest word's places.
     """
     keep_fields = list(index.schema["rows"].dataType.elementType.fields)
-    parts = [_search(index, c, keep_fields, width, near) for c in query_chunks(items)]
-    if not parts:
-        parts = [_search(index, [], keep_fields, width, near)]
-    if len(parts) == 1:
-        return parts[0]
-    names = [f.name for f in keep_fields]
-    # each chunk gives a document one row; the rows meet by their place in the index
-    numbered = [p.withColumn("_at", F.monotonically_increasing_id()) for p in parts]
-    both = numbered[0]
-    for p in numbered[1:]:
-        both = both.unionAll(p)
-    met = both.groupBy("_at").agg(
-        *[F.first(n).alias(n) for n in names], F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+    chunks = query_chunks(items)
+    first, second = next(chunks, []), next(chunks, None)
+    if second is None:
+        return _search(index, first, keep_fields, width, near)
+    path = new_path(index.sparkSession, "found")
+    for chunk in itertools.chain((first, second), chunks):
+        _search(index, chunk, keep_fields, width, near, sparse=True).write.mode("append").parquet(path)
     empty = F.array().cast(HITS)
     join = lambda acc, x: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= x["start"]),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop")))),
     ).otherwise(F.concat(acc, F.array(x)))
-    return met.withColumn("hits", F.aggregate("hits", empty, join)).drop("_at")
+    met = index.sparkSession.read.schema(FOUND).parquet(path).groupBy("_block", "_doc").agg(
+        F.array_sort(F.flatten(F.collect_list("hits"))).alias("_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items")  # a document has a row a chunk
+    )
+    docs = index.select(F.col("block").alias("_block"), F.posexplode(F.arrays_zip("rows", "n_words")).alias("_doc", "_d")).withColumn("_doc", F.col("_doc").cast("long"))
+    both = docs.join(met, ["_block", "_doc"], "left")
+    names = [f.name for f in keep_fields]
+    return both.select(
+        *[F.col(f"_d.rows.{n}").alias(n) for n in names], F.col("_d.n_words").alias("n_words"),
+        F.aggregate(F.coalesce("_hits", empty), empty, join).alias("hits"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
+    )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], width: int = WINDOW) -> DataFrame:

@@ -48,6 +48,8 @@ def test_queries_in_chunks(spark, docs, sf, texts, monkeypatch):
     monkeypatch.setattr(P, "BLOCK_BYTES", 50_000)
     assert rows(P.decontaminate(docs, bench, ["doc_id"])) == want
     assert any(w[2] for w in want)
+    plan = P.search(P.build(docs, ["doc_id"]), bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 3  # however many chunks there are
 
 
 def test_proximity(spark):
