@@ -15,8 +15,8 @@ def brute(text):
     best, found = 1.0 if base else 0.0, set()
     for label, t in L.TEMPLATES.items():
         own = set(L.tokens(t))
-        for line in low.split("\n"):
-            n = len(own & set(re.findall(L.WORD, line)))
+        for i in range(len(w)):
+            n = len(own & set(w[i : i + L.width(t)]))
             if n >= L.needed(len(own)):
                 found.add(label)
                 best = max(best, n / len(own))
@@ -27,6 +27,8 @@ TEXTS = [
     "cc by cc by", "CC-BY\nx", "ccby cc byx xcc by", "écc by cc byé", "All\nrights\n\nreserved", "GENERAL public LICENSE", "licensed under the apache license version 2 0", "version 2.0 of the APACHE License, licensed under",
     "Licensed under the Apache License, Version 2.", "released under the mit", None, "", "İcc by K general public license", L.TEMPLATES["gpl-notice"] + " or later", L.TEMPLATES["bsd-notice"].replace("binary", ""),
     "\n".join(L.TEMPLATES.values()), "x " * 5000 + "cc by", L.TEMPLATES["mit"] + "\r", "Released under\nthe MIT License.",
+    "The party released a statement; students at MIT work under a license.", "worK is licensed under the GNU General Public License, version 3, this", "İn CC\u212a BY", ",cc by,", "  all rights reserved",
+    "# " + L.TEMPLATES["apache-notice"].replace(" ", " \n# "), "a " + L.TEMPLATES["unlicense"].replace("and ", "and and "),
 ]
 
 
@@ -67,7 +69,29 @@ def test_wrapped_notices(spark):
             rows.append((label, "intro\n\n" + "\n".join(f" * {x}" for x in lines)))
     got = L.scan(spark.createDataFrame(rows, "doc_id string, text string"), ["doc_id"]).select("doc_id", "labels", "score", "matches").collect()
     assert len(got) == len(rows) and all(r.doc_id in r.labels and r.score == 1 for r in got)
-    long = [r for r in got if r.doc_id.endswith("-notice")]
-    assert any(m.label == r.doc_id and m.block is None for r in long for m in r.matches)
     far = L.scan(spark.createDataFrame([(1, L.TEMPLATES["mit-notice"].replace(" ", "\nzz zz "))], "doc_id int, text string"), ["doc_id"]).first()
     assert far.labels == [] and far.score == 0
+
+
+def test_scattered_words_are_no_notice(spark):
+    text = "The party released a statement; students at MIT work under a license."
+    r = L.scan(spark.createDataFrame([(1, text)], "doc_id int, text string"), ["doc_id"]).first()
+    assert r.labels == [] and r.score == 0
+
+
+def test_templates_from_a_table(spark):
+    own = spark.createDataFrame([("own", "do what you like with it")], "label string, text string")
+    r = L.scan(spark.createDataFrame([(1, "You may: do what you\nlike with it.", "x")], "doc_id int, text string, labels string"), ["doc_id", "labels"], templates=own).first()
+    assert r.labels == ["own"] and r.score == 1 and r.matches[0].word == 2
+
+
+def test_sql_on_the_same_texts(spark):
+    import duckdb
+
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {r[0]: r[1:] for r in con.execute(L.oracle_sql()).fetchall()}
+    got = L.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), ["doc_id"]).collect()
+    assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, ",".join(r.base_labels), ",".join(r.labels), r.score) for r in got} == want
