@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter
 
@@ -34,10 +35,76 @@ def test_hot_group_is_split_and_others_stay_whole(spark):
     assert all(len(v) == 1 for k, v in whole.items() if k != "hot text")
 
 
+def one_by_one(vectors, times, shards, weights):
+    """The rule as it is said: every group for itself, largest first.  Loads of the shards."""
+    v = np.asarray(vectors, float)
+    v = v / ((v * np.asarray(times)[:, None]).sum(0) / shards)
+    w, room, out = np.asarray(weights), np.ones((shards, 3)), Counter()
+    for i in np.argsort(-(v * w).sum(1), kind="stable").tolist():
+        for _ in range(times[i]):
+            fits = [s for s in range(shards) if room[s, 0] >= v[i, 0] - 1e-9 * v[i, 0]]
+            s = max(fits, key=lambda s: (float((room[s] * w) @ v[i]), -s)) if fits else max(range(shards), key=lambda s: (room[s, 0], -s))  # noqa: B023
+            room[s] -= v[i]
+            out[i, s] += 1
+    return out
+
+
+def test_runs_place_like_single_steps():
+    rng = np.random.default_rng(5)
+    for shards in (2, 5, 24):
+        n = 60
+        v = np.stack((rng.integers(9, 9000, n), rng.integers(1, 900, n), rng.integers(1, 4, n)), 1) + rng.random((n, 3))
+        times = rng.integers(1, 40, n).tolist()
+        runs = S.place(v, times, shards)
+        got, ranks = Counter(), Counter()
+        for i, s, first, k in runs:
+            assert ranks[i] == first
+            ranks[i] += k
+            got[i, s] += k
+        assert ranks == Counter(dict(enumerate(times)))
+        assert got == one_by_one(v, times, shards, S.WEIGHTS)
+
+
 def test_greedy_takes_the_highest_dot_product():
     v = np.array([[5, 1, 1], [1, 5, 1], [1, 1, 5], [5, 1, 1], [1, 5, 1], [1, 1, 5]], float)
-    s = S.place(v, 2, (1, 1, 1))
-    assert sorted(Counter(s.tolist()).values()) == [3, 3]
+    runs = S.place(v, None, 2, (1, 1, 1))
+    assert sorted(Counter(s for _, s, _, _ in runs).values()) == [3, 3]
+
+
+def test_every_group_is_placed_by_its_vector(spark, docs, texts):
+    """Few groups: each vector counts whole, and the loads are those of the rule step by step."""
+    groups = {}
+    for t in texts.values():
+        g = groups.setdefault(t or "", [0, 0, 0])
+        g[0] += len((t or "").encode()) + 8
+        g[1] += len(re.findall(r"[^ \t\n\x0b\f\r]+", t or ""))
+        g[2] += 1
+    total, n = sum(g[0] for g in groups.values()), len(texts)
+    got = S.assign(docs, ["doc_id"]).collect()
+    load = Counter()
+    for r in got:
+        load[r.shard] += r.size
+    if all(g[0] * 24 <= total and g[2] * 24 <= n for g in groups.values()):
+        kinds = Counter(map(tuple, groups.values()))
+        want, placed = Counter(), one_by_one([list(k) for k in kinds], list(kinds.values()), 24, S.WEIGHTS)
+        for (i, s), k in placed.items():
+            want[s] += list(kinds)[i][0] * k
+        assert sorted(load.values()) == sorted(want.values())
+    shard = {}
+    for r in got:
+        shard.setdefault(texts[r.doc_id] or "", set()).add(r.shard)
+    assert all(len(shard[t]) == 1 for t, g in groups.items() if g[0] * 24 <= total and g[2] * 24 <= n)
+
+
+def test_many_vectors_share_leading_bits(spark, monkeypatch):
+    rows = [(i, "w" * (1 + i * 37 % 2003) + " x" * (i % 50)) for i in range(6000)]
+    monkeypatch.setattr(S.classes, "__defaults__", (200,))
+    got = S.assign(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), ["doc_id"]).collect()
+    check(got, rows)
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.size
+    assert max(size.values()) < 1.02 * min(size.values())
 
 
 def test_query(spark, sf, texts):
