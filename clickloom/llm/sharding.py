@@ -139,12 +139,12 @@ def assign(docs: DataFrame, keep: list[str], shards: int = SHARDS, text: str = "
     marks = F.broadcast(spark.createDataFrame(hot, "_h long, _pieces long"))
     split = rows.join(marks, "_h").withColumn("_piece", F.pmod("_r", "_pieces"))
     pieces = sorted(split.groupBy("_h", "_piece").agg(*vector).collect(), key=lambda r: (r._h, r._piece))  # 3 * shards * PIECES at most
-    light = groups.join(marks, "_h", "left_anti")
+    light = stage(groups.join(marks, "_h", "left_anti"), "light")
     bits, kinds = classes(light)
     late = []
     if bits != BITS[0]:
         late = sorted(smallest(light.withColumn("_x", F.xxhash64("_h")), "_x", LATE, "_h").collect(), key=lambda r: r._h)
-        light = light.join(F.broadcast(spark.createDataFrame([(r._h,) for r in late], "_h long")), "_h", "left_anti")
+        light = stage(light.join(F.broadcast(spark.createDataFrame([(r._h,) for r in late], "_h long")), "_h", "left_anti"), "light")
         kinds = _histogram(light, bits)
     vectors = [(r.b, r.t, r.n) for r in pieces] + [(r.b / r.m, r.t / r.m, r.n / r.m) for r in kinds]
     runs = place(vectors, [1] * len(pieces) + [r.m for r in kinds], shards)
