@@ -25,13 +25,15 @@ _ours: list[tuple] = []  # (JVM, Hadoop's configuration, path): usable after the
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is unset, as in tests on one machine, a folder under the
-    warehouse is set and used.
+    Where the setting is unset on one machine, as in tests, a folder under the warehouse is
+    used; on a cluster that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         sc = spark.sparkContext
         d = spark.conf.get("clickloom.shared.dir", None)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         if not d:
             d = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged_{uuid.uuid4().hex[:8]}"
             spark.conf.set("clickloom.shared.dir", d)

@@ -57,3 +57,15 @@ def test_apart_loses_nothing(spark):
         a, b = [{r.id for r in x.collect()} for x in (clear, doubt)]
         assert a | b == set(range(3000)) and not a & b and set(range(n)) <= b
         assert most < 26 or len(b) <= n + 300
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from clickloom.llm import common
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(cluster)
