@@ -96,13 +96,6 @@ def yesterday() -> Column:
     return F.date_format(F.date_sub(F.current_date(), 1), "yyyy-MM-dd")
 
 
-#: Percentages at which a ratio of whole numbers, read as a binary double, lies below its decimal tie.
-BELOW_TIE = (
-    3, 9, 15, 21, 29, 31, 35, 37, 41, 43, 47, 49, 57, 59, 61, 69, 71, 73, 83, 85, 87, 95, 97, 99, 113, 115, 117, 119, 121, 123, 139, 141, 143, 145, 147, 149,
-    163, 165, 167, 169, 171, 173, 189, 191, 193, 195, 197, 199,
-)
-
-
 def ratio2(n, d) -> Column:
     """n / d with two decimals, halves up, by whole-number arithmetic; NULL if d is 0."""
     n, d = col(n).cast("bigint"), col(d).cast("bigint")
@@ -110,11 +103,19 @@ def ratio2(n, d) -> Column:
 
 
 def ratio2_binary(n, d) -> Column:
-    """Like :func:`ratio2`, but a tie of the decimal value is decided on its binary double, for ratios up to 1."""
+    """Like :func:`ratio2`, but a tie of the decimal value is decided on its binary double: it goes
+    down where the double lies below the tie.
+
+    With v = m * 2^-s, m a whole number below 2^54, v < t / 200 says 200 * m < t * 2^s in whole numbers,
+    for ratios of whole numbers from 1/200 to 10^7."""
     n, d = col(n).cast("bigint"), col(d).cast("bigint")
-    m = F.when((200 * n) % d == 0, F.call_function("div", 200 * n, d))
-    down = F.coalesce(m.isin(*BELOW_TIE), F.lit(False))
-    return F.when(d != 0, (F.call_function("div", 200 * n + d, 2 * d) - down.cast("bigint")).cast("double") / 100)
+    up = F.call_function("div", 200 * n + d, 2 * d)
+    t = F.when((200 * n) % d == 0, F.call_function("div", 200 * n, d))
+    v = n.cast("double") / d.cast("double")
+    s = 53 - F.floor(F.log2(v)).cast("int")
+    m = (v * F.pow(F.lit(2.0), s)).cast("bigint")
+    down = (t % 2 == 1) & (200 * m < F.call_function("shiftleft", t, s))
+    return F.when(d != 0, (up - F.coalesce(down, F.lit(False)).cast("bigint")).cast("double") / 100)
 
 
 def round_half_up(x, scale: int = 2) -> Column:

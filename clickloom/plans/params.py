@@ -62,6 +62,10 @@ class Settings:
         own = {k: int(v) if known[k] == "int" else v for k, v in pairs.items() if k in known}
         return cls(**own, extra={k: v for k, v in pairs.items() if k not in known})
 
+    def extra_for(self, prefix: str) -> dict[str, str]:
+        """Further settings ``prefix.key=value`` by key."""
+        return {k[len(prefix) + 1 :]: v for k, v in self.extra.items() if k.startswith(f"{prefix}.")}
+
 
 def task(tasks, task_id: int) -> TaskParam | None:
     """The parameters of a row of the ``task`` table (task_id, task_param), by point lookup."""

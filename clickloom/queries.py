@@ -230,7 +230,7 @@ def fn_strings(spark, d):
 @q
 def fn_dates(spark, d):
     e = C.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    a, b = S.format_time("ts"), S.format_time(F.expr("ts - INTERVAL 1 HOUR"))
+    a, b = S.format_time("ts"), S.format_time(F.expr("ts + make_interval(0, 0, 0, 0, cast(event_id % 5 - 2 as int))"))
     return e.select(
         "event_id", S.before(a, b).alias("is_before"), S.after(a, b).alias("is_after"), S.minus_seconds(a, b).alias("seconds"), S.minus_seconds(a, F.lit("bad")).alias("bad"),
         S.date_hour(a).alias("date_hour"), S.format_date("ts").alias("d"), S.date_key("ts").alias("k"), S.format_date(S.parse_date_key(S.date_key("ts"))).alias("parsed"), S.minute_key("ts").alias("m"),
@@ -240,7 +240,7 @@ def fn_dates(spark, d):
 @q
 def fn_round(spark, d):
     n, m = F.col("c_custkey") % 211, F.col("c_custkey") % 200 + 1
-    return C.table(spark, d, "customer").select("c_custkey", S.ratio2(n, m).alias("r"), S.ratio2(n, F.lit(0)).alias("none"), S.ratio2_binary(F.lit(29), F.lit(200)).alias("strict"))
+    return C.table(spark, d, "customer").select("c_custkey", S.ratio2(n, m).alias("r"), S.ratio2(n, F.lit(0)).alias("none"), S.ratio2_binary(F.col("c_custkey") % 741, F.element_at(F.array(F.lit(8), F.lit(40), F.lit(200)), (F.col("c_custkey") % 3 + 1).cast("int"))).alias("strict"))
 
 
 @q
@@ -323,7 +323,17 @@ def ad_click_trend(spark, d):
 
 @q
 def bernoulli_sample(spark, d):
-    return acts(spark, d).sample(False, 0.1, 9)
+    """What holds of a sample: its rows are rows of the table, each once, it has the share that was asked
+    for (to six standard deviations) and it is the same again for a seed."""
+    every = acts(spark, d).select("event_id")
+    some, again = every.sample(False, 0.1, 9), every.sample(False, 0.1, 9)
+    n = some.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("k"), F.sum(F.xxhash64("event_id").cast("decimal(38,0)")).alias("h"))
+    m = again.agg(F.sum(F.xxhash64("event_id").cast("decimal(38,0)")).alias("h2"))
+    strange = some.join(every, "event_id", "left_anti").agg(F.count("*").alias("strange"))
+    whole = every.agg(F.count("*").alias("whole"))
+    one = n.crossJoin(m).crossJoin(strange).crossJoin(whole)  # of one row each
+    near = F.abs(F.col("n") - 0.1 * F.col("whole")) <= 6 * F.sqrt(0.09 * F.col("whole"))
+    return one.select((F.col("strange") == 0).alias("is_part"), (F.col("n") == F.col("k")).alias("each_once"), near.alias("share_holds"), (F.col("h") == F.col("h2")).alias("repeatable"))
 
 
 @q
@@ -404,6 +414,12 @@ def stream_ad_blacklist_users(spark, d):
     return _ad_job(spark, d, THRESHOLD)["ad_blacklist"].read()
 
 
+@q
+def stream_ad_click_trend_window(spark, d):
+    """The job's own table: each batch leaves the last 60 minutes."""
+    return _ad_job(spark, d, 1_000_000)["ad_click_trend"].read()
+
+
 @q
 def stream_ad_province_top3(spark, d):
     return _ad_job(spark, d, 1_000_000)["ad_province_top3"].read()
@@ -425,9 +441,24 @@ def _sink(spark, d, name, make, mode=None):
     return t.read()
 
 
+def _stored(name, job, p, spark, d):
+    """A job's output as its sink has it, after the job has been stored twice."""
+    root = new_folder(spark, "job")
+    for _ in range(2):
+        jobs.store({name: job(C.Catalog(spark, d), p, Settings(extract_count=EXTRACT))[name]}, lambda n, schema: ParquetTable(spark, f"{root}/{n}", schema), 1)
+    df = job(C.Catalog(spark, d), p, Settings(extract_count=EXTRACT))[name]
+    return ParquetTable(spark, f"{root}/{name}", jobs.with_task(df, 1).schema).read()
+
+
+for _n in ("session_aggr_stat", "session_random_extract", "session_detail", "top10_category", "top10_session"):
+    Q[f"sink_{_n}"] = partial(_stored, _n, jobs.session_job, J1)
+Q["sink_page_split_convert_rate"] = partial(_stored, "page_split_convert_rate", jobs.page_job, TaskParam(DATES[0], DATES[1], target_page_flow=FLOW))
+Q["sink_area_top3_product"] = partial(_stored, "area_top3_product", jobs.product_job, TaskParam(DATES[0], DATES[1]))
+
+
 @q
 def sink_append(spark, d):
-    return _sink(spark, d, "top10_category", ads.stat, "append")
+    return _sink(spark, d, "ad_stat", ads.stat, "append")
 
 
 @q
@@ -588,9 +619,10 @@ def oracle_sql() -> dict[str, str]:
         "fn_strings": """SELECT c_custkey, c_custkey % 3 = 0 AS blank, 'a=' || c_custkey || '|b=' || c_mktsegment || '|c=|a=9' AS trimmed,
   CASE WHEN length(CAST(c_custkey % 120 AS VARCHAR)) = 2 THEN '' ELSE '0' END || (c_custkey % 120) AS padded, CAST(4 AS BIGINT) AS parts, c_mktsegment AS got, CAST(NULL AS VARCHAR) AS none,
   'a=7|b=' || c_mktsegment || '|c=|a=9' AS changed FROM customer""",
-        "fn_dates": """SELECT event_id, FALSE AS is_before, TRUE AS is_after, CAST(3600 AS BIGINT) AS seconds, CAST(0 AS BIGINT) AS bad, strftime(ts, '%Y-%m-%d_%H') AS date_hour, strftime(ts, '%Y-%m-%d') AS d,
+        "fn_dates": """SELECT event_id, event_id % 5 > 2 AS is_before, event_id % 5 < 2 AS is_after, CAST(3600 * (2 - event_id % 5) AS BIGINT) AS seconds, CAST(0 AS BIGINT) AS bad, strftime(ts, '%Y-%m-%d_%H') AS date_hour, strftime(ts, '%Y-%m-%d') AS d,
   strftime(ts, '%Y%m%d') AS k, strftime(ts, '%Y-%m-%d') AS parsed, strftime(ts, '%Y%m%d%H%M') AS m FROM events""",
-        "fn_round": """SELECT c_custkey, CAST((200 * (c_custkey % 211) + c_custkey % 200 + 1) // (2 * (c_custkey % 200 + 1)) AS DOUBLE) / 100 AS r, CAST(NULL AS DOUBLE) AS none, CAST(0.14 AS DOUBLE) AS strict FROM customer""",
+        "fn_round": """SELECT c_custkey, CAST((200 * (c_custkey % 211) + c_custkey % 200 + 1) // (2 * (c_custkey % 200 + 1)) AS DOUBLE) / 100 AS r, CAST(NULL AS DOUBLE) AS none, CAST(split_part(v, '.', 1) AS DOUBLE) + CAST(CAST(substr(split_part(v, '.', 2), 1, 2) AS INTEGER) + CAST(substr(split_part(v, '.', 2), 3, 1) >= '5' AS INTEGER) AS DOUBLE) / 100 AS strict
+  FROM (SELECT c_custkey, printf('%.60f', CAST(c_custkey % 741 AS DOUBLE) / [8, 40, 200][c_custkey % 3 + 1]) AS v FROM customer)""",
         "fn_udfs": sql("""SELECT product_id, p AS pair, s AS status, p AS unsalted, split_part(p, ':', 2) AS area, product_id AS pid, CAST(product_id AS VARCHAR) AS as_text, product_id AS as_long, p AS sql_pair,
   p AS sql_unsalted, s AS sql_status, split_part(p, ':', 2) AS sql_area, product_id AS sql_pid FROM (SELECT product_id, product_id || ':' || product_name AS p, json_extract_string(extend_info, '$.product_status') AS s FROM product_info)"""),
         "broadcast_join": sql(joined), "skew_split_join": sql(joined), "salted_join": sql(joined),
@@ -603,6 +635,8 @@ def oracle_sql() -> dict[str, str]:
         "ad_stat": sql("SELECT * FROM st"), "stream_ad_stat": sql("SELECT * FROM st"), "ad_province_top3": sql("SELECT * FROM pt"), "stream_ad_province_top3": sql("SELECT * FROM pt"),
         "ad_click_trend": sql(trend.format("ts > (SELECT max(ts) FROM ad_log) - INTERVAL 60 MINUTE")),
         "stream_ad_click_trend": sql(trend.format("date_trunc('minute', ts) > date_trunc('minute', (SELECT max(ts) FROM ad_log)) - INTERVAL 60 MINUTE")),
+        "bernoulli_sample": "SELECT TRUE AS is_part, TRUE AS each_once, TRUE AS share_holds, TRUE AS repeatable",
+        "stream_ad_click_trend_window": sql(trend.format("date_trunc('minute', ts) > date_trunc('minute', (SELECT max(ts) FROM ad_log)) - INTERVAL 60 MINUTE")),
         "preview": sql(f"SELECT {COLUMNS} FROM acts ORDER BY event_id LIMIT 5"),
         "job_session_aggr_stat": sql(_stat_sql(), **j1), "job_session_random_extract": sql("SELECT * FROM extract", **j1),
         "job_session_detail": sql(f"SELECT {COLUMNS} FROM acts2 WHERE session_id IN (SELECT session_id FROM extract UNION ALL SELECT session_id FROM most)", **j1),
@@ -613,6 +647,15 @@ def oracle_sql() -> dict[str, str]:
         "sink_insert_absent": sql("SELECT DISTINCT user_id FROM ad_log"),
         "sink_replace_group": sql(f"SELECT * FROM ({half_pt(1)}) UNION ALL SELECT a.* FROM ({half_pt(0)}) a ANTI JOIN ({half_pt(1)}) b USING (date, province)"),
     }
+    keys = ("user_id", "session_id", "page_id", "action_time")
+    rest = ", ".join(f"{c} NULLS FIRST" for c in COLUMNS.split(", ") if c not in keys)
+    detail = out["job_session_detail"].replace(f"\nSELECT {COLUMNS} FROM acts2", f"\nSELECT {COLUMNS}, row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {rest}) AS rn FROM acts2")
+    one = "CAST(1 AS BIGINT) AS task_id"
+    out |= {
+        "sink_session_aggr_stat": out["job_session_aggr_stat"], "sink_session_random_extract": out["job_session_random_extract"], "sink_session_detail": f"SELECT {one}, {COLUMNS} FROM ({detail}) WHERE rn = 1",
+        "sink_top10_category": f"SELECT {one}, * FROM ({out['job_top10_category']})", "sink_top10_session": f"SELECT {one}, * FROM ({out['job_top10_session']})",
+        "sink_page_split_convert_rate": out["job_page_split_convert_rate"], "sink_area_top3_product": out["job_area_top3_product"],
+    }
     for n, p in FILTERS.items():
         out[f"session_filter_{n}"] = sql("SELECT * FROM chosen", where=where_of(p))
     return out

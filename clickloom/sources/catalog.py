@@ -118,14 +118,46 @@ def scan_clicks(actions: DataFrame, start: str | None = None, end: str | None =
     return scan_actions(actions, start, end).where("click_product_id IS NOT NULL").select("city_id", F.col("click_product_id").alias("product_id"))
 
 
-def read_jdbc(spark: SparkSession, url: str, name: str, properties: dict[str, str] | None = None, fetch_size: int = 1000) -> DataFrame:
-    return spark.read.jdbc(url, name, properties={"fetchsize": str(fetch_size), **(properties or {})})
+def read_jdbc(spark: SparkSession, url: str, name: str, properties: dict[str, str] | None = None, fetch_size: int = 1000, column: str | None = None, bounds: tuple[int, int] = (0, 0), partitions: int = 1) -> DataFrame:
+    """A table of a database, over one connection, or with ``column`` (whole numbers, mostly within
+    ``bounds``) over ``partitions`` at once."""
+    own = {"fetchsize": str(fetch_size), **(properties or {})}
+    if column is None:
+        return spark.read.jdbc(url, name, properties=own)
+    return spark.read.jdbc(url, name, column, *bounds, partitions, properties=own)
 
 
-def mock_actions(spark: SparkSession, users: int = 100, sessions: int = 10, seed: int = 1) -> DataFrame:
-    """Synthetic actions, the same for a seed: a session's length and each value come from hashes."""
+def lookup(table: DataFrame, **keys) -> DataFrame:
+    """The rows with these values: filters that the database evaluates, so that only these rows come."""
+    by = {c.lower(): c for c in table.columns}
+    for k, v in keys.items():
+        table = table.where(F.col(by[k.lower()]).isNull() if v is None else F.col(by[k.lower()]) == F.lit(v))
+    return table
+
+
+def click_count(table: DataFrame, date: str, user_id: int, ad_id: int) -> int:
+    """Clicks of a user on an ad on a day, by point lookup in ``ad_user_click_count``; 0 if there is no row."""
+    row = lookup(table, date=date, user_id=user_id, ad_id=ad_id).first()
+    return 0 if row is None else int({k.lower(): v for k, v in row.asDict().items()}["click_count"])
+
+
+def blacklisted(table: DataFrame, user_id: int) -> bool:
+    return lookup(table, user_id=user_id).head(1) != []
+
+
+def hive_session(name: str = "clickloom", **conf: str) -> SparkSession:
+    """A session whose registered tables are those of a Hive metastore (embedded, where none is
+    configured); ``Catalog`` then reads them by its ``overrides``."""
+    b = SparkSession.builder.appName(name).enableHiveSupport()
+    for k, v in conf.items():
+        b = b.config(k, v)
+    return b.getOrCreate()
+
+
+def mock_actions(spark: SparkSession, users: int = 100, sessions: int = 10, seed: int = 1, steps: int = 100) -> DataFrame:
+    """Synthetic actions, the same for a seed: a session's length (up to ``steps``) and each value come from hashes."""
     rnd = lambda n, *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(n))
-    s = spark.range(users * sessions).select((F.col("id") % users).alias("user_id"), F.concat(F.lit("m"), "id").alias("session_id"), F.explode(F.sequence(F.lit(0), rnd(30, "id", F.lit("n")))).alias("step"))
+    s = spark.range(users * sessions).select((F.col("id") % users).alias("user_id"), F.concat(F.lit("m"), "id").alias("session_id"), F.explode(F.sequence(F.lit(0), rnd(steps, "id", F.lit("n")))).alias("step"))
     key = ("session_id", "step")
     kind = rnd(4, *key, F.lit("kind"))
     one = lambda k, n, name: F.when(kind == k, rnd(n, *key, F.lit(name)))

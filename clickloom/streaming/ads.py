@@ -5,6 +5,9 @@ stands filters the batch, the totals of (day, user, ad) grow, users over the thr
 join the blacklist - which holds from the next batch on - and the statistics follow.
 Every table keeps the last batch id, so a batch that is replayed changes nothing.
 
+A batch reads of the totals the days that it touches, and looks at its own keys there, so its
+work doesn't grow with the history.  The trend slides: each batch keeps the last ``minutes``.
+
 ``stat_stream`` and ``trend_stream`` are the stateful forms without a blacklist; their
 watermarks bound the state.
 """
@@ -15,14 +18,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ads
-from ..sources.sinks import BY_DAY, TABLES, ParquetTable
+from ..sources.sinks import BY_DAY, TABLES, ParquetTable, recent, upsert_add
 
 LOG_SCHEMA = "ts TIMESTAMP, epoch_ms BIGINT, province STRING, city STRING, user_id BIGINT, ad_id BIGINT"
 
 
-def kafka_lines(spark: SparkSession, servers: str, topics: str, starting: str = "earliest") -> DataFrame:
-    """Log lines of Kafka topics (comma-separated); needs the Kafka source on the class path."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics).option("startingOffsets", starting).load()
+def kafka_options(servers: str, topics: str, starting: str = "earliest", most: int | None = None) -> dict[str, str]:
+    """Options of Spark's Kafka source; topics are comma-separated, blanks and empty names go."""
+    names = ",".join(t.strip() for t in topics.split(",") if t.strip())
+    if not servers.strip() or not names:
+        raise ValueError("servers and topics must be given")
+    out = {"kafka.bootstrap.servers": servers.strip(), "subscribe": names, "startingOffsets": starting}
+    return out | ({} if most is None else {"maxOffsetsPerTrigger": str(most)})
+
+
+def kafka_lines(spark: SparkSession, servers: str, topics: str, starting: str = "earliest", most: int | None = None) -> DataFrame:
+    """Log lines of Kafka topics; needs the Kafka source on the class path."""
+    raw = spark.readStream.format("kafka").options(**kafka_options(servers, topics, starting, most)).load()
     return raw.select(F.col("value").cast("string").alias("value"))
 
 
@@ -56,9 +68,11 @@ class AdClickJob:
         "ad_province_top3": "date STRING, province STRING, ad_id BIGINT, click_count BIGINT", "ad_click_trend": "date STRING, hour STRING, minute STRING, ad_id BIGINT, click_count BIGINT",
     }
 
-    def __init__(self, spark: SparkSession, root: str, threshold: int = 100, top: int = 3):
+    def __init__(self, spark: SparkSession, root: str, threshold: int = 100, top: int = 3, minutes: int = 60):
         self.spark, self.root, self.threshold, self.top = spark, root, threshold, top
-        self.tables = {n: ParquetTable(spark, f"{root}/{n}", s, BY_DAY.get(n)) for n, s in self.SCHEMAS.items()}
+        self.tables = {n: ParquetTable(spark, f"{root}/{n}", s, None if n == "ad_click_trend" else BY_DAY.get(n)) for n, s in self.SCHEMAS.items()}
+        add = lambda old, new, keys: upsert_add(old, new, keys, "click_count")
+        self.slide = recent(add, F.to_timestamp(F.concat_ws(" ", "date", "hour", "minute"), "yyyy-MM-dd HH mm"), minutes)
 
     def batch(self, log: DataFrame, batch_id: int) -> None:
         t = self.tables
@@ -66,13 +80,14 @@ class AdClickJob:
         try:
             put = lambda name, new, mode=None, keys=None: t[name].write(new, mode or TABLES[name][0], keys or TABLES[name][1], batch_id)
             put("ad_stat", ads.stat(log), "upsert_add")
-            put("ad_click_trend", ads.trend_columns(ads.minute_clicks(log)), "upsert_add")
-            days = ads.with_day(log).select("date").distinct()
-            totals = t["ad_stat"].read().join(F.broadcast(days), "date", "left_semi")  # the days of one batch
-            put("ad_province_top3", ads.province_top(totals, self.top))
-            put("ad_user_click_count", ads.user_clicks(log))
+            put("ad_click_trend", ads.trend_columns(ads.minute_clicks(log)), self.slide)
+            days = [r.date for r in ads.with_day(log).select("date").distinct().collect()]  # of one batch
+            put("ad_province_top3", ads.province_top(t["ad_stat"].read(days), self.top))
+            mine = ads.user_clicks(log)
+            put("ad_user_click_count", mine)
+            totals = t["ad_user_click_count"].read(days).join(mine.select("date", "user_id", "ad_id"), ["date", "user_id", "ad_id"], "left_semi")
             # last: the filter above must find the blacklist as it was if the batch is replayed
-            put("ad_blacklist", ads.blacklist_users(t["ad_user_click_count"].read(), self.threshold))
+            put("ad_blacklist", ads.blacklist_users(totals, self.threshold))
         finally:
             log.unpersist()
 

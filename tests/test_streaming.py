@@ -43,4 +43,66 @@ def test_late_rows_beyond_the_watermark_are_dropped(spark, tmp_path):
 
 
 def test_mock_lines_stream(spark):
-    assert live.mock_lines(spark).isStreaming
+    from clickloom.operators import ads
+
+    q = ads.parse_lines(live.mock_lines(spark, 50)).writeStream.format("memory").queryName("mock_log").start()
+    try:
+        for _ in range(60):
+            q.awaitTermination(1)
+            if spark.table("mock_log").count() >= 20:
+                break
+        got = spark.table("mock_log").collect()
+    finally:
+        q.stop()
+    assert len(got) >= 20 and all(r.sound and r.province.startswith("province") and 0 <= r.user_id < 1000 and 0 <= r.ad_id < 10 for r in got)
+
+
+def test_kafka_options():
+    import pytest
+
+    class Reader:
+        def __init__(self):
+            self.got = {}
+
+        def format(self, name):
+            self.got["format"] = name
+            return self
+
+        def options(self, **o):
+            self.got |= o
+            return self
+
+        def load(self):
+            raise LookupError(self.got)  # the source itself isn't on the class path
+
+    class Session:
+        readStream = Reader()  # noqa: N815
+
+    with pytest.raises(LookupError) as e:
+        live.kafka_lines(Session(), " a:9092,b:9092 ", "one, two,,", most=100)
+    assert e.value.args[0] == {"format": "kafka", "kafka.bootstrap.servers": "a:9092,b:9092", "subscribe": "one,two", "startingOffsets": "earliest", "maxOffsetsPerTrigger": "100"}
+    with pytest.raises(ValueError, match="must be given"):
+        live.kafka_options("a:9092", " , ")
+
+
+def test_a_batch_reads_the_days_that_it_touches(spark, tmp_path):
+    import shutil
+
+    job = live.AdClickJob(spark, f"{tmp_path}/tables", threshold=3)
+    log = lambda day, n: spark.createDataFrame([(T0 + timedelta(days=day, minutes=m), 0, "p", "c", 1, 1) for m in range(n)], live.LOG_SCHEMA)
+    job.batch(log(0, 2), 0)
+    for name in ("ad_user_click_count", "ad_stat"):  # the first day's folders can't be read any more
+        for p in (tmp_path / "tables" / name).glob("v*/_p=2024-01-01"):
+            shutil.rmtree(p)
+    job.batch(log(1, 2), 1)
+    assert job.tables["ad_blacklist"].read().count() == 0
+    job.batch(log(1, 1), 2)
+    assert [r.user_id for r in job.tables["ad_blacklist"].read().collect()] == [1]
+
+
+def test_the_trend_slides(spark, tmp_path):
+    job = live.AdClickJob(spark, f"{tmp_path}/tables", minutes=60)
+    for i, m in enumerate((0, 30, 59, 75, 300)):
+        job.batch(spark.createDataFrame([(T0 + timedelta(minutes=m), 0, "p", "c", 1, 1)] * 2, live.LOG_SCHEMA), i)
+        left = sorted(int(r.hour) * 60 + int(r.minute) for r in job.tables["ad_click_trend"].read().collect())
+        assert left == [x for x in (0, 30, 59, 75, 300) if m - 60 < x <= m]

@@ -57,6 +57,16 @@ def test_ratio_rounds_half_up(spark, n, d):
     assert spark.range(1).select(S.ratio2(F.lit(n), F.lit(d))).first()[0] == pytest.approx(float(want), abs=1e-9)
 
 
+def test_strict_ratio_of_many(spark):
+    """Against the exact value of the double, read as a decimal number."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    pairs = [(n, d) for d in (8, 40, 200, 3, 7, 16, 25, 125, 400) for n in range(3 * d + 2)] + [(n, 200) for n in range(100_001, 100_400)]
+    df = spark.createDataFrame(pairs, "n bigint, d bigint").select("n", "d", S.ratio2_binary("n", "d").alias("r"))
+    for r in df.collect():
+        assert r.r == float(Decimal(r.n / r.d).quantize(Decimal("0.01"), ROUND_HALF_UP)), r
+
+
 def test_strict_ratio(spark):
     assert tuple(spark.range(1).select(S.ratio2(F.lit(29), F.lit(200)), S.ratio2_binary(F.lit(29), F.lit(200)), S.ratio2(F.lit(1), F.lit(0))).first()) == (0.15, 0.14, None)
 
@@ -171,6 +181,8 @@ def test_mock_tables(spark):
     assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, catalog.mock_actions(spark, 10, 2).collect()), key=repr)
     assert catalog.mock_users(spark).count() == catalog.mock_products(spark).count() == 100
     assert session.aggregate(a).where("visit_length >= 0").count() == 20
+    most = session.aggregate(catalog.mock_actions(spark)).agg(F.max("step_length"), F.count("*")).first()
+    assert 30 < most[0] <= 100 and most[1] == 1000
 
 
 def test_merges(spark):
@@ -193,6 +205,122 @@ def test_jdbc_round_trip(spark, tmp_path):
     assert catalog.read_jdbc(spark, url, "ad_stat", t.properties).count() == 3
 
 
+DERBY = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+
+
+def test_point_lookups_and_partitioned_reads(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/lookup;create=true"
+    rows = [("2024-01-01", u, a, 10 * u + a) for u in range(20) for a in range(5)]
+    spark.createDataFrame(rows, "date string, user_id bigint, ad_id bigint, click_count bigint").write.option("createTableColumnTypes", "date VARCHAR(10)").jdbc(url, "ad_user_click_count", properties=DERBY)
+    spark.createDataFrame([(3,)], "user_id bigint").write.jdbc(url, "ad_blacklist", properties=DERBY)
+    t, black = catalog.read_jdbc(spark, url, "ad_user_click_count", DERBY), catalog.read_jdbc(spark, url, "ad_blacklist", DERBY)
+    assert catalog.click_count(t, "2024-01-01", 3, 4) == 34 and catalog.click_count(t, "2024-01-02", 3, 4) == 0
+    assert catalog.blacklisted(black, 3) and not catalog.blacklisted(black, 4)
+    plan = catalog.lookup(t, user_id=3)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [*IsNotNull(user_id), *EqualTo(user_id,3)]" in plan
+    parts = catalog.read_jdbc(spark, url, "ad_user_click_count", DERBY, column="user_id", bounds=(0, 20), partitions=4)
+    assert parts.rdd.getNumPartitions() == 4 and parts.count() == 100
+
+
+def test_a_failed_jdbc_merge_leaves_the_table(spark, tmp_path):
+    t = sinks.JdbcTable(spark, f"jdbc:derby:{tmp_path}/bad;create=true", "ad_stat", "k bigint, click_count bigint", DERBY)
+    t.create()
+    rows = lambda *r: spark.createDataFrame(list(r), "k bigint, click_count bigint")
+    t.write(rows((1, 1)))
+    with pytest.raises(Exception, match="(?i)nowhere|does not exist"):
+        t._at_once("DELETE FROM ad_stat", "INSERT INTO ad_stat SELECT * FROM nowhere")
+    assert [tuple(r) for r in t.read().collect()] == [(1, 1)]
+    with pytest.raises(Exception, match="(?i)boom"):
+        t.write(rows((2, 2)).withColumn("click_count", F.raise_error(F.lit("boom")).cast("bigint")), "upsert_add", ("k",))
+    assert [tuple(r) for r in t.read().collect()] == [(1, 1)]
+    t.create(if_absent=True)
+    assert t.read().count() == 1
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    one, two = (sinks.ParquetTable(spark, f"{tmp_path}/t", "user_id bigint") for _ in range(2))
+    rows = lambda i: spark.createDataFrame([(i,)], "user_id bigint")
+    one.write(rows(1))
+
+    def meanwhile(old, new):
+        two.write(rows(2))
+        return old.unionByName(new)
+
+    with pytest.raises(RuntimeError, match="another writer"):
+        one.write(rows(3), meanwhile)
+    assert sorted(r.user_id for r in one.read().collect()) == [1, 2]
+    one.write(rows(4))
+    assert sorted(r.user_id for r in two.read().collect()) == [1, 2, 4]
+
+
+def test_jobs_are_stored_once(spark, sf, tmp_path):
+    """From the command line's arguments to the result tables; a second run leaves them as they are."""
+    from pathlib import Path
+
+    from clickloom.plans import main
+
+    tables = Path(tmp_path, "tables")
+    tables.mkdir()
+    for p in Path(sf).glob("*.parquet"):
+        (tables / p.name).symlink_to(p)
+    spark.createDataFrame([(7, '{"startDate":["2024-01-05"],"endDate":["2024-01-20"],"targetPageFlow":["3,5,2"]}')], "task_id bigint, task_param string").write.parquet(f"{tables}/task.parquet")
+    (tmp_path / "settings").write_text("session.task_id=7\nextract_count=1000\n")
+    own = ["--tables", str(tables), "--out", f"{tmp_path}/out", "--settings", f"{tmp_path}/settings"]
+    last = lambda n: spark.read.parquet(str(max(Path(tmp_path, "out", n).glob("v*"), key=lambda p: int(p.name[1:]))))
+    got = []
+    for _ in range(2):
+        assert main.run(spark, ["session", *own]) == main.run(spark, ["page", "7", *own]) == main.run(spark, ["product", "7", *own]) == 7
+        got.append({n: sorted(map(repr, last(n).where("task_id = 7").collect())) for n in ("session_aggr_stat", "session_random_extract", "session_detail", "top10_category", "top10_session", "page_split_convert_rate", "area_top3_product")})
+    assert got[0] == got[1] and all(got[0].values())
+    keys = ("task_id", "user_id", "session_id", "page_id", "action_time")
+    detail = last("session_detail")
+    assert detail.count() == detail.select(*keys).distinct().count()
+    with pytest.raises(LookupError):
+        main.run(spark, ["page", "8", *own])
+
+
+def test_results_in_a_database(spark, sf, tmp_path):
+    from clickloom.plans import jobs
+
+    url = f"jdbc:derby:{tmp_path}/results;create=true"
+
+    def table(name, schema):
+        t = sinks.JdbcTable(spark, url, name, schema, DERBY)
+        t.create(if_absent=True)
+        return t
+
+    out = jobs.product_job(catalog.Catalog(spark, sf), TaskParam())
+    for _ in range(2):
+        jobs.store({"area_top3_product": out["area_top3_product"].drop("city_infos")}, table, 1)
+    assert catalog.read_jdbc(spark, url, "area_top3_product", DERBY).count() == out["area_top3_product"].count()
+
+
+def test_tables_of_a_hive_metastore(sf, tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+from clickloom.sources import catalog
+s = catalog.hive_session(**{{"spark.master": "local[1]", "spark.ui.enabled": "false", "spark.sql.warehouse.dir": {str(tmp_path / "wh")!r}, "spark.hadoop.javax.jdo.option.ConnectionURL": "jdbc:derby:{tmp_path}/meta;create=true"}})
+s.sql("CREATE TABLE cities STORED AS PARQUET AS SELECT 1L AS city_id, 'x' AS city_name, 'North' AS area")
+assert s.conf.get("spark.sql.catalogImplementation") == "hive"
+print("FOUND", catalog.Catalog(s, {sf!r}, (("city_info", "default.cities"),))("city_info").first().area)
+"""
+    run = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=300)
+    assert "FOUND North" in run.stdout, run.stderr[-2000:]
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from clickloom.sources import staging
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.new_folder(cluster, "x")
+
+
 def test_parquet_table_versions(spark, tmp_path):
     t = sinks.ParquetTable(spark, f"{tmp_path}/t", "user_id bigint")
     new = spark.createDataFrame([(1,), (1,), (2,)], "user_id bigint")
