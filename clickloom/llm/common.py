@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -174,6 +175,8 @@ def text_chunks(batches, col: str, max_bytes: int = 2_000_000):
             yield b.slice(lo, hi - lo), v.slice(lo, hi - lo).to_pylist()
             lo = hi
     pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Numbering(dict):
