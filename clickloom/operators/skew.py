@@ -21,10 +21,11 @@ def heavy_keys(df: DataFrame, key: str, n: int = 1, fraction: float | None = Non
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: str, n: int = 10) -> DataFrame:
-    """Equi join with ``n`` salts: the rows of a key go to ``n`` tasks, ``small`` is expanded n times."""
+    """Equi join with ``n`` salts: the rows of a key go to ``n`` tasks, ``small`` is expanded n times.
+    Both are shuffled and sorted: Spark's estimate of a size leaves the expansion out, and it would broadcast it."""
     left = big.withColumn("_salt", S.salt(n, *big.columns))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return left.join(right, [on, "_salt"]).drop("_salt")
+    return left.join(right.hint("merge"), [on, "_salt"]).drop("_salt")
 
 
 def skew_split_join(big: DataFrame, small: DataFrame, on: str, keys: int = 1, n: int = 10, fraction: float | None = 0.1) -> DataFrame:

@@ -160,6 +160,15 @@ def test_salted_equals_plain(spark, rows):
     assert sorted(map(tuple, skew.salted_aggregate(big, ["k"]).collect())) == sorted(map(tuple, big.groupBy("k").count().collect()))
 
 
+def test_salted_join_sends_no_table_to_the_driver(spark):
+    """The estimate of the expanded table is that of the plain one, so Spark would broadcast n times what it expects."""
+    big, small = spark.range(1000).withColumnRenamed("id", "k"), spark.range(100).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    out = skew.salted_join(big, small, "k")
+    assert sorted(map(tuple, out.collect())) == [(k, "x") for k in range(100)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_params(spark):
     p = TaskParam.from_json('{"startDate":["2024-01-01"],"startAge":["10"],"targetPageFlow":["3,5,2"],"sex":[""],"x":[1]}')
     assert p == TaskParam(start_date="2024-01-01", start_age=10, target_page_flow=(3, 5, 2))
