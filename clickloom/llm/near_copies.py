@@ -1,12 +1,16 @@
-"""Near copies by the Jaccard similarity of word shingles, verified exactly.
+"""Near copies by SimHash and the Jaccard similarity of word shingles, verified exactly.
 
 Texts with the same set of shingles (five words, lower-cased; 128 bits stand for a set) are one
-from the start.  Each distinct set has ``BANDS`` keys of ``ROWS`` minimum hashes; sets that share
+from the start.  Sets whose SimHash fingerprints differ in at most ``RADIUS`` bits are found by the
+search of :mod:`.simhash` (partitions of bits with their own thresholds, spanning forests of buckets); of
+these pairs those that are alike make the first classes.  Similar sets may differ in more bits than any
+affordable radius (README), so a second search looks for the links that are left between classes.
+Each distinct set has ``BANDS`` keys of ``ROWS`` minimum hashes; sets that share
 a key are candidates.  Two sets of similarity s miss each other with probability
-(1 - s ** ROWS) ** BANDS, which is 5e-8 at 0.8 and less above.  A pair is decided on the whole sets of
+(1 - s ** ROWS) ** BANDS, which is 5e-8 at 0.8 and less above.  In both searches a pair is decided on the whole sets of
 64-bit hashes.  Pairs within a bucket grow with the square of a group of copies, so a bucket's sets
-are first held against its hub, the set that shares most keys with others (the original of a group of edited
-copies).  What is then in another class than the hub is held against all sets of the hub's buckets, in blocks
+of other classes than its hub, the set that shares most keys with others (the original of a group of edited
+copies), are first held against that.  What is then in another class than the hub is held against all sets of the hub's buckets, in blocks
 of bounded size, for every pair of blocks whose sizes of sets allow a link; a task gets two blocks and gives
 one link for each two classes that it joins, so no pairs are emitted.  Every two sets that share a key are
 compared or already of one class; the work in blocks grows with a group's size times its sets that are unlike the hub.
@@ -25,12 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import apart, drop, stage, text_chunks, with_text
-from .simhash import LONG, components, shingle_hashes
+from .simhash import LONG, components, majority, shingle_hashes
+from .simhash import links as fingerprint_links
 
 WIDTH = 5
 #: Least similarity of a link, as a fraction.
 SIMILAR = (4, 5)
 BANDS, ROWS = 32, 4
+#: Fingerprints that differ in at most so many bits are candidates.
+RADIUS = 5
 #: A block has about this many sets and this many hashes at most.
 BLOCK, BLOCK_HASHES = 256, 500_000
 
@@ -67,8 +74,8 @@ def band_keys(hashes, starts):
 
 
 def signatures(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns, fp and fp2 (the set's hashes), n (its size) and bands (its keys); no shuffle."""
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", LONG), T.StructField("fp2", LONG), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(LONG))])
+    """``keep`` columns, fp and fp2 (the set's hashes), n (its size), mark (its fingerprint) and bands (its keys); no shuffle."""
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", LONG), T.StructField("fp2", LONG), T.StructField("n", T.IntegerType()), T.StructField("mark", LONG), T.StructField("bands", T.ArrayType(LONG))])
 
     def run(batches):
         import numpy as np
@@ -78,11 +85,14 @@ def signatures(docs: DataFrame, keep: list[str]) -> DataFrame:
             sets = [shingle_set(t) for t in texts]
             n = np.fromiter(map(len, sets), np.int64, len(sets))
             some = np.flatnonzero(n >= SIMILAR[0])  # smaller sets are like none but themselves
-            keys = band_keys(np.concatenate([sets[i] for i in some]), np.cumsum(n[some]) - n[some]) if len(some) else np.zeros((0, BANDS), np.uint64)
+            keys, mark = np.zeros((0, BANDS), np.uint64), np.zeros(len(sets), np.uint64)
+            if len(some):
+                hashes = np.concatenate([sets[i] for i in some])
+                keys, mark[some] = band_keys(hashes, np.cumsum(n[some]) - n[some]), majority(hashes, n[some])
             ends = np.concatenate(([0], np.cumsum((n >= SIMILAR[0]) * BANDS))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
             fp = np.array([set_ids(s) for s in sets], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(n.astype(np.int32)), bands], names=[*keep, "fp", "fp2", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(n.astype(np.int32)), pa.array(mark.view(np.int64)), bands], names=[*keep, "fp", "fp2", "n", "mark", "bands"])
 
     return with_text(docs, keep).mapInArrow(run, schema)
 
@@ -115,6 +125,19 @@ def near(n, m):
     return (F.col(n) * SIMILAR[1] >= F.col(m) * SIMILAR[0]) & (F.col(m) * SIMILAR[1] >= F.col(n) * SIMILAR[0])
 
 
+def by_fingerprint(uniq: DataFrame) -> DataFrame:
+    """Staged (a, b): sets of ``uniq`` (node, n, mark) whose fingerprints differ in at most ``RADIUS`` bits, if their sizes
+    allow a link.  Of sets with one fingerprint each is paired with the least, which stands for them in the forests."""
+    marks = uniq.where(F.col("n") >= SIMILAR[0]).select("node", "n", F.col("mark").alias("fp"))
+    least = stage(marks.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("r")), "marks")
+    side = lambda c: least.select(F.col("fp").alias(c), F.col("r").alias(f"_{c}"))
+    other = fingerprint_links(least, RADIUS).distinct().join(side("a"), "a").join(side("b"), "b").select("_a", "_b")
+    same = marks.join(least, "fp").where("node <> r.node").select(F.col("r").alias("_a"), F.struct("node", "n").alias("_b"))
+    out = stage(other.unionByName(same).where(near("_a.n", "_b.n")).select(F.col("_a.node").alias("a"), F.col("_b.node").alias("b")), "pairs")
+    drop(least)
+    return out
+
+
 def with_hubs(rows: DataFrame) -> DataFrame:
     """(h, hn, node, n): each set of ``rows`` (k, node, n, degree) with the hubs of its buckets, hubs aside."""
     hubs = rows.groupBy("k").agg(F.max(F.struct("degree", "node", "n")).alias("hub"))
@@ -122,6 +145,13 @@ def with_hubs(rows: DataFrame) -> DataFrame:
     return both.where("node <> h").distinct()
 
 
+def with_classes(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """``stars`` with root, the class of node by ``roots`` (node, root), and whether the hub is of an other class."""
+    main = roots.select(F.col("node").alias("h"), F.col("root").alias("main"))
+    own = stars.join(roots, "node", "left").join(main, "h", "left")
+    return own.select(*stars.columns, F.coalesce("root", "node").alias("root"), (F.coalesce("root", "node") != F.coalesce("main", "h")).alias("other"))
+
+
 def block_of(other, level, number):
     """One long for a block: whether its sets are of other classes than the hub's, their level of size, its number."""
     return F.col(other).cast("long") * (1 << 48) + F.col(level) * (1 << 40) + F.col(number)
@@ -132,10 +162,8 @@ def cells(stars: DataFrame, roots: DataFrame) -> DataFrame:
 
     ``stars`` are from :func:`with_hubs`, ``roots`` (node, root) the classes so far.  Sets whose levels differ by
     more than one have sizes that rule a link out; two sets of the hub's class need none."""
-    main = roots.select(F.col("node").alias("h"), F.col("root").alias("main"))
-    own = stars.join(roots, "node", "left").join(main, "h", "left").select(
-        "h", "node", F.coalesce("root", "node").alias("root"), "n",
-        (F.coalesce("root", "node") != F.coalesce("main", "h")).alias("other"), F.floor(F.log("n") / math.log(1.26)).cast("long").alias("level"),
+    own = with_classes(stars, roots).select(
+        "h", "node", "root", "n", "other", F.floor(F.log("n") / math.log(1.26)).cast("long").alias("level"),
     )
     several = own.groupBy("h").agg(F.count("*").alias("c"), F.max("other").alias("mixed")).where("c > 1 AND mixed").select("h")
     own = stage(own.join(several, "h"), "stars")
@@ -175,24 +203,28 @@ def crossing(table):
 
 
 def links(docs: DataFrame, uniq: DataFrame, keys: list[str]) -> DataFrame:
-    """Staged (a, b) of similar sets of ``uniq`` (node, n, bands, rep with the ``keys`` of a text) that join the classes."""
+    """Staged (a, b) of similar sets of ``uniq`` (node, n, mark, bands, rep with the ``keys`` of a text) that join the classes."""
+    pairs = by_fingerprint(uniq)
     rows = uniq.select("node", "n", F.explode("bands").alias("k"))
     sizes = stage(rows.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
     _, doubt = apart(rows, "k", sizes.select("k"))  # most keys are one set's alone
     rows = stage(doubt.join(sizes, "k"), "members")
     degrees = rows.groupBy("node").agg(F.sum("c").alias("degree"))
     stars = stage(with_hubs(rows.join(degrees, "node")), "hubs")
-    nodes = rows.select("node").distinct()
+    nodes = rows.select("node").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
     texts = stage(uniq.join(nodes, "node", "left_semi").select("node", *[F.col(f"rep.{k}").alias(k) for k in keys]), "keys")
     _, doubt = apart(docs.select(*keys, "text"), keys[0], texts.select(keys[0]))
     sets = stage(shingle_sets(doubt.join(texts, keys).select("node", "text").dropDuplicates(["node"])), "sets")
-    found = stage(alike(stars.where(near("n", "hn")).select(F.col("h").alias("a"), F.col("node").alias("b")), sets), "links")
+    first = stage(alike(pairs, sets), "links")
+    classes = stage(components(first), "roots")
+    hubs = with_classes(stars, classes).where(F.col("other") & near("n", "hn")).select(F.col("h").alias("a"), F.col("node").alias("b"))
+    found = stage(first.unionByName(alike(hubs, sets)), "links")
     roots = stage(components(found), "roots")
     rest = stage(cells(stars, roots), "cells")
     _, those = apart(sets, "node", rest.select("node").distinct())
     more = rest.join(those, "node").groupBy("h", "lo", "hi").applyInArrow(crossing, "a long, b long")
     out = stage(found.unionByName(more), "links")
-    for x in (sizes, rows, stars, texts, sets, found, roots, rest):
+    for x in (pairs, sizes, rows, stars, texts, sets, first, classes, found, roots, rest):
         drop(x)
     return out
 
@@ -202,7 +234,7 @@ def near_copies(docs: DataFrame, keys: list[str]) -> DataFrame:
     and keeper (the least keys of the class's rows with that doc_id) of every row."""
     marked = stage(signatures(docs, ["doc_id", *keys]), "fp")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *keys))
-    uniq = marked.groupBy("fp", "fp2").agg(rep.alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    uniq = marked.groupBy("fp", "fp2").agg(rep.alias("rep"), F.first("n").alias("n"), F.first("mark").alias("mark"), F.first("bands").alias("bands"))
     uniq = stage(uniq.withColumn("node", F.monotonically_increasing_id()), "uniq")  # the number holds as it is stored
     found = links(docs, uniq, keys)
     roots = stage(components(found), "roots")

@@ -48,6 +48,15 @@ def shingle_hashes(text: bytes | None, width: int):
     return [f(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :], strict=False)]
 
 
+def majority(h, n):
+    """The fingerprint of each run of ``n`` (all above 0) consecutive hashes: bits set in over half of them."""
+    import numpy as np
+
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
 def fingerprints(docs: DataFrame, keep: list[str], width: int = 3, out: str = "fp") -> DataFrame:
     """``keep`` columns and the 64-bit fingerprint (as a signed long); no shuffle."""
     keep = [c for c in keep if c != out]
@@ -63,11 +72,7 @@ def fingerprints(docs: DataFrame, keep: list[str], width: int = 3, out: str = "f
             full = np.flatnonzero(n)
             fp = np.zeros(len(texts), np.uint64)
             if len(full):
-                h = np.concatenate([np.array(hashes[i], np.uint64) for i in full])
-                bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                starts = np.concatenate(([0], np.cumsum(n[full])[:-1]))
-                ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-                fp[full] = np.packbits(2 * ones > n[full][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+                fp[full] = majority(np.concatenate([np.array(hashes[i], np.uint64) for i in full]), n[full])
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(fp.view(np.int64))], names=[*keep, out])
 
     return with_text(docs, keep).mapInArrow(run, schema)

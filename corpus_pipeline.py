@@ -7,7 +7,8 @@ of documents, for the documents that they keep:
 1. the quality classifier's rejected documents go (score under 0.7);
 2. documents that fail the base rules or a learned quality rule go;
 3. one document of each near-duplicate class stays, that of the smallest doc_id; links are
-   similarities of 0.8 or more of the sets of five-word shingles (README: why not by fingerprints);
+   similarities of 0.8 or more of the sets of five-word shingles, found by SimHash fingerprints
+   and, beyond their radius, by minimum hashes (README: why both);
 4. contaminated documents go; a document with less benchmark text than that loses the
    passages that windows of the benchmark cover, and its n_chars follows;
 5. what is left is packed into sequences of 2048 tokens.

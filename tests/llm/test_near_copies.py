@@ -6,6 +6,8 @@ import corpus_pipeline as C
 import pyarrow as pa
 import pytest
 from clickloom.llm import near_copies as N
+from clickloom.llm import simhash as S
+from pyspark.sql import functions as F
 
 
 def brute(rows):
@@ -111,3 +113,46 @@ def test_cells_of_two_blocks():
     assert sorted(sorted((root[r["a"]], root[r["b"]])) for r in got) == sorted(map(sorted, want)) and want
     alone = {k: v[:1] for k, v in cell.items()}
     assert N.crossing(pa.table(alone)).num_rows == 0
+
+
+def edited(rng):
+    """Texts with a few changed words each, as (node, text)."""
+    rows = []
+    for _ in range(60):
+        text = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        other = text[:]
+        for _ in range(rng.randrange(1, 12)):
+            other[rng.randrange(300)] = f"x{rng.randrange(5000)}"
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(other))]
+    return rows
+
+
+def marked(spark, rows):
+    """The distinct sets of the texts, as near_copies has them, node being the text's number."""
+    docs = spark.createDataFrame(rows, "node bigint, text string").withColumn("_key", F.col("node")).repartition(3)
+    return docs, N.signatures(docs, ["node", "_key"]).withColumn("rep", F.struct("_key"))
+
+
+def test_fingerprints_are_those_of_the_operator(spark):
+    """Of the sets: every text here has each of its shingles once."""
+    docs, uniq = marked(spark, edited(random.Random(8)))
+    want = {r.node: r.fp for r in S.fingerprints(docs, ["node"], N.WIDTH).collect()}
+    assert {r.node: r.mark for r in uniq.collect()} == want and len(set(want.values())) > 60
+
+
+def test_fingerprint_search_finds_its_links_by_itself(spark):
+    """Without any key of minimum hashes: every alike pair within the radius is linked, and nothing else."""
+    rows = edited(random.Random(9))
+    docs, uniq = marked(spark, rows)
+    fp = {r.node: r.mark & (1 << 64) - 1 for r in uniq.collect()}
+    sets = {i: set(N.shingle_set(t.encode()).tolist()) for i, t in rows}
+    alike = [(i, i + 1) for i in range(0, len(rows), 2) if 5 * len(sets[i] & sets[i + 1]) >= 4 * len(sets[i] | sets[i + 1])]
+    want = {p for p in alike if (fp[p[0]] ^ fp[p[1]]).bit_count() <= N.RADIUS}
+    got = N.links(docs, uniq.withColumn("bands", F.expr("slice(bands, 1, 0)")), ["_key"]).collect()
+    assert {tuple(sorted((r.a, r.b))) for r in got} == want and 5 < len(want) < len(alike)
+
+
+def test_sets_of_one_fingerprint_are_paired(spark):
+    """Equal and close fingerprints make pairs, unlike sizes and small sets don't."""
+    uniq = spark.createDataFrame([(1, 100, 7), (2, 100, 7), (3, 101, 7 ^ 31), (4, 300, 7), (5, 3, 7), (6, 100, -8)], "node bigint, n int, mark bigint")
+    assert {tuple(sorted((r.a, r.b))) for r in N.by_fingerprint(uniq).collect()} == {(1, 2), (1, 3)}
